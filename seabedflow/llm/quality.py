@@ -36,7 +36,7 @@ _KIND[ord("0") : ord("9") + 1] = DIGIT
 _KIND[[9, 11, 12, 13, 32]] = SPACE
 _KIND[128:] = OTHER
 #: Features of one line before its neighbours' are added.
-OWN = 15
+OWN = 16
 
 
 def line_features(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ def line_features(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndar
     f = np.stack([
         count[UPPER] / letters, count[DIGIT] / n, count[MARK] / n, np.minimum(per_line(twice) / w, 2), np.minimum(per_line(lone) / w, 2),
         np.log1p(size) / 8, np.minimum(solid / w, 30) / 10, np.minimum(count[MARK] / w, 3), np.isin(last, list(b".!?:;\"')")) * 1.0, (first == UPPER) * 1.0,
-        (words <= 2) * 1.0, per_line(np.isin(buf, list(b"{}<>|\\=#*&%$@^~[]"))) / w, np.minimum(per_line(np.isin(buf, list(b".,"))) / w, 1), (count[UPPER] > 0.5 * letters) * 1.0, np.minimum(_repeats(buf, starts, ends), 5) / 5,
+        (words <= 2) * 1.0, per_line(np.isin(buf, list(b"{}<>|\\=#*&%$@^~[]"))) / w, np.minimum(per_line(np.isin(buf, list(b".,"))) / w, 1), (count[UPPER] > 0.5 * letters) * 1.0, np.minimum(_repeats(buf, starts, ends), 5) / 5, _stutter(buf, gap, begins, starts) / w,
     ], 1)
     per_text = np.cumsum([0, *(t.count(b"\n") for t in raw)])
     return f.astype("f4"), size, per_text
@@ -86,6 +86,16 @@ def _repeats(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return out
 
 
+def _stutter(buf: np.ndarray, gap: np.ndarray, begins: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Words of each line that repeat the word before them, as far as length and a sum over the bytes tell."""
+    out = np.zeros(len(buf), "i8")
+    at = np.flatnonzero(begins)
+    if len(at) > 1:
+        key = np.add.reduceat(np.where(gap, 0, buf.astype("i8") ** 3 + 1_000_003), at)
+        out[at[1:]] = key[1:] == key[:-1]
+    return np.add.reduceat(out, starts)
+
+
 def with_neighbours(f: np.ndarray, per_text: np.ndarray) -> np.ndarray:
     """Own, previous and next line's features, flags for the first and last line, and a constant."""
     n = len(f)
