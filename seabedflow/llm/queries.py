@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, licenses, mixing, packing, quality, url_filter
+from . import chat, decontaminate, exact_dedup, licenses, mixing, packing, quality, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op3_chat_format, op4_token_packing, op5_exact_dedup, op7_license_scan, op8_decontamination, op9_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_url_filter, op3_chat_format, op4_token_packing, op5_exact_dedup, op6_suffix_dedup, op7_license_scan, op8_decontamination, op9_mixing, op10_quality)}
 
 
 EXACT_SQL = """
