@@ -37,13 +37,13 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     collected the objects that stand for them, which the collection below brings forward.
     """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/seabedflow-{uuid.uuid4().hex}-{tag}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[path] = spark
     out._seabedflow_path = path
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return out
 
 

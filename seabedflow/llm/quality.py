@@ -253,3 +253,11 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     field = fit_quality(docs, labels, sample)
     t = quality_scores(docs, field, keep)
     return t.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 2000) -> DataFrame:
+    """The documents that are not rejected, with all their columns; a filter, so no row is shuffled."""
+    field = fit_quality(docs, labels, sample)
+    scored = quality_scores(docs.withColumnRenamed("score", "_given") if "score" in docs.columns else docs, field, tuple("_given" if c == "score" else c for c in docs.columns))
+    kept = scored.where(F.col("score") >= threshold).drop("score")
+    return kept.withColumnRenamed("_given", "score") if "_given" in kept.columns else kept

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact_dedup, licenses, mixing, packing, quality, suffix_dedup, url_filter
+from . import chat, decontaminate, exact_dedup, licenses, mixing, near_dup, packing, quality, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -52,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op3_chat_format, op4_token_packing, op5_exact_dedup, op6_suffix_dedup, op7_license_scan, op8_decontamination, op9_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_url_filter, op2_near_duplicates, op3_chat_format, op4_token_packing, op5_exact_dedup, op6_suffix_dedup, op7_license_scan, op8_decontamination, op9_mixing, op10_quality)}
 
 
 EXACT_SQL = """

@@ -36,6 +36,8 @@ from .common import durable, partitions, release, text_of
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SEGMENT, LAST = 1 << 20, (1 << 63) - 1
+#: Contexts that are sorted at a time.
+SLICE = 10_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -114,10 +116,16 @@ class Extensions:
 
     def after(self, r1: np.ndarray, a1: np.ndarray, r2: np.ndarray, a2: np.ndarray, most: int) -> np.ndarray:
         """-1, 0 or 1 as the first suffix comes before, with or after the second."""
-        n = self.common(r1, a1, r2, a2, most)
-        at = np.minimum(n, most - 1)
-        x, y = self.rows[r1, a1 + at].astype("i2"), self.rows[r2, a2 + at].astype("i2")
-        return np.where(n >= most, 0, np.sign(x - y))
+        out = np.zeros(len(r1), "i8")
+        i = np.flatnonzero(~self.agree(r1, a1, r2, a2, most))
+        n = self.common(r1[i], a1[i], r2[i], a2[i], most - 1)
+        out[i] = np.sign(self.rows[r1[i], a1[i] + n].astype("i2") - self.rows[r2[i], a2[i] + n].astype("i2"))
+        return out
+
+    def agree(self, r1: np.ndarray, a1: np.ndarray, r2: np.ndarray, a2: np.ndarray, size: int) -> np.ndarray:
+        """Whether two suffixes have the same hash over ``size`` bytes."""
+        p = self.power[size]
+        return self.hash[r1, a1 + size] - self.hash[r1, a1] * p == self.hash[r2, a2 + size] - self.hash[r2, a2] * p
 
 
 def merge_sort(ext: Extensions, row: np.ndarray, at: np.ndarray, segment: np.ndarray, most: int) -> np.ndarray:
@@ -183,7 +191,7 @@ def least_ids(ctx: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray
     r, a, seg = r[order], a[order], seg[order]
     same = np.zeros(len(r), bool)
     if len(r) > 1:
-        same[1:] = (seg[1:] == seg[:-1]) & (ext.common(r[1:], a[1:], r[:-1], a[:-1], length) == length)
+        same[1:] = (seg[1:] == seg[:-1]) & ext.agree(r[1:], a[1:], r[:-1], a[:-1], length)
     if not _verified(ext.rows, r, a, same, length):
         return _by_bytes(ctx, there, group, dk, length, out)
     cls = np.cumsum(~same) - 1
@@ -240,7 +248,7 @@ def repeated_intervals(units: DataFrame, length: int = 50, k: int = 20, hot: int
     width = 2 * reach + k
     starts = width - length + 1
     n_units = units.count()
-    buckets = max(partitions(spark), n_units // 64)
+    buckets = max(partitions(spark), n_units // 16)
 
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -264,11 +272,12 @@ def repeated_intervals(units: DataFrame, length: int = 50, k: int = 20, hot: int
         kind = kind[inverse]
         ends = np.cumsum([len(x) // 8 for x in g.h])
         rows = [(uid, key[0], kind[e - len(x) // 8 : e].tobytes()) for uid, x, e in zip(g.uid, g.h, ends, strict=True)]
-        return pd.DataFrame([r for r in rows if any(r[2])], columns=["uid", "bucket", "kind"])
+        return pd.DataFrame([(*r, 2 in r[2]) for r in rows if any(r[2])], columns=["uid", "bucket", "kind", "hot"])
 
     asked = units.select("uid", "dk", "raw").mapInPandas(named, "bucket long, uid long, h binary, several binary")
-    answers = asked.groupBy("bucket").applyInPandas(answered, "uid long, bucket long, kind binary")
-    answers = durable(answers.groupBy("uid").agg(F.collect_list(F.struct("bucket", "kind")).alias("answers")), "answers")
+    answers = asked.groupBy("bucket").applyInPandas(answered, "uid long, bucket long, kind binary, hot boolean")
+    answers = answers.groupBy("uid").agg(F.collect_list(F.struct("bucket", "kind")).alias("answers"), F.max("hot").alias("is_hot"))
+    answers = durable(answers, "answers")
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -288,32 +297,42 @@ def repeated_intervals(units: DataFrame, length: int = 50, k: int = 20, hot: int
                     if len(take):
                         yield _cut_contexts(uid, dks, raws, h[take], pos[take], doc[take], is_hot, reach, k, buckets)
 
-    found = units.join(answers, "uid").select("uid", "dk", "raw", "answers")
-    found = durable(found.mapInPandas(contexts, "bucket long, hot int, uid long, h binary, ctx binary, lo binary, hi binary, pos binary, doc binary, dk binary"), "contexts")
+    found = units.join(answers.drop("is_hot"), "uid").select("uid", "dk", "raw", "answers").mapInPandas(contexts, "bucket long, hot int, uid long, h binary, ctx binary, lo binary, hi binary, pos binary, doc binary, dk binary")
 
     def sorted_out(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("uid")
         h = np.concatenate([np.frombuffer(x, "u8") for x in g.h])
         ctx = np.concatenate([np.frombuffer(x, "u1") for x in g.ctx]).reshape(-1, width)
-        lo, hi = (np.concatenate([np.frombuffer(x, "u1") for x in c]).astype("i8") for c in (g["lo"], g["hi"]))
+        lo, hi = (np.concatenate([np.frombuffer(x, "u1") for x in c]) for c in (g["lo"], g["hi"]))
         pos, dk = (np.concatenate([np.frombuffer(x, "i8") for x in c]) for c in (g["pos"], g["dk"]))
         doc = np.concatenate([np.frombuffer(x, "i4") for x in g.doc])
         uid = np.repeat(g.uid.to_numpy(), [len(x) // 8 for x in g.h])
-        whole = np.concatenate([h[:, None].view("u1").reshape(len(h), 8)[:, ::-1], ctx, lo[:, None].astype("u1"), hi[:, None].astype("u1")], 1)
-        _, first, inverse = np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
-        least = np.full(len(first), LAST, "i8")
-        np.minimum.at(least, inverse, dk)
-        of = h[first]
-        group = np.cumsum(np.concatenate(([0], of[1:] != of[:-1]))) if len(of) else of.astype("i8")
-        best = least_ids(ctx[first], lo[first], hi[first], group, least, length)
-        gone = best[inverse] < dk[:, None]
-        return _intervals(uid, doc, pos - reach, gone, length)
-
+        del g
+        order = np.argsort(h, kind="stable")
+        ends = np.array([e for _, e in _runs(h[order])])
+        out, at = [], 0
+        while at < len(order):  # whole groups of one anchor, about ``SLICE`` contexts at a time
+            end = int(ends[min(np.searchsorted(ends, at + SLICE), len(ends) - 1)])
+            s, at = order[at:end], end
+            out.append(_intervals(uid[s], doc[s], pos[s] - reach, _gone(h[s], ctx[s], lo[s], hi[s], dk[s], length), length))
+        return pd.concat(out)
+
+    if not answers.where("is_hot").limit(1).count():
+        return found.drop("hot").groupBy("bucket").applyInPandas(sorted_out, "uid long, doc binary, lo binary, hi binary")
+    found = durable(found, "contexts")
     usual = found.where("hot = 0").drop("hot").groupBy("bucket").applyInPandas(sorted_out, "uid long, doc binary, lo binary, hi binary")
-    out = usual
-    if found.where("hot = 1").limit(1).count():
-        out = usual.unionByName(_hot_intervals(found.where("hot = 1"), length, reach, width, starts))
-    return out
+    return usual.unionByName(_hot_intervals(found.where("hot = 1"), length, reach, width, starts))
+
+
+def _gone(h: np.ndarray, ctx: np.ndarray, lo: np.ndarray, hi: np.ndarray, dk: np.ndarray, length: int) -> np.ndarray:
+    """For each occurrence and window start, whether a smaller dk has the same window; equal contexts are compared once."""
+    whole = np.concatenate([h[:, None].view("u1").reshape(len(h), 8)[:, ::-1], ctx, lo[:, None], hi[:, None]], 1)
+    _, first, inverse = np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    least = np.full(len(first), LAST, "i8")
+    np.minimum.at(least, inverse, dk)
+    of = h[first]
+    group = np.cumsum(np.concatenate(([0], of[1:] != of[:-1])))
+    return least_ids(ctx[first], lo[first].astype("i8"), hi[first].astype("i8"), group, least, length)[inverse] < dk[:, None]
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -417,6 +436,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 20, unit: int = 1 <
 
     done = units.join(lost, "uid").select("sha", "raw", "lost").mapInPandas(cut, "sha string, n_removed long, n_spans long, kept_sha string, kept binary")
     done = durable(done, "cut")
+    release(units, lost)
     rows = src.select("doc_id", "dk", "sha", F.length("raw").cast("long").alias("n_bytes"), *([F.col("raw")] if with_text else []))
     least = durable(rows.groupBy("sha").agg(F.min("dk").alias("least")), "least")
     t = rows.join(least, "sha").join(done, "sha", "left")
