@@ -1,15 +1,64 @@
-"""The corpus pipeline: quality, near duplicates, decontamination, mixing, packed token ids."""
+"""The corpus pipeline: quality filter, near duplicates, decontamination, mixing, packed token ids.
+
+Each stage takes all that the stage before it kept and returns documents with the same columns; the last
+returns packed rows. Between stages :func:`run` writes a table in the shared folder, so that losing an executor costs the
+stage it happens in only.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from seabedflow.llm import decontaminate, mixing, near_dup, packing, quality
+from seabedflow.llm.common import durable, release
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is below 0.3 go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of the least doc_id stays."""
+    return near_dup.drop_near_duplicates(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out until sources have their target sizes."""
+    return mixing.mix(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed rows of token ids."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mixing),
+    ("token-ID / binary output", token_output),
+]
+
+#: The classifier, the forest and the packing are not expressible in SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    before = None
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), f"stage-{name.split()[0]}")
+        release(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
