@@ -2,10 +2,305 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.params import CI95, CI99_GRID, Params
+from ..operators import estimate as E
+from ..operators import gridding as G
+from ..operators import series as T
+from ..operators import surfaces as S
+from ..sources import views as V
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+P = Params()
+HALF, DX = 1, V.SHEET.dx
+_all: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _all[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _all.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for k, (_, s) in _all.items() if s}
+
+
+def r4(*names: str) -> list:
+    return [F.round(n, 4).alias(n) for n in names]
+
+
+def cells(spark: SparkSession, sf: str) -> DataFrame:
+    return V.celled(spark, sf)
+
+
+def mean(spark: SparkSession, sf: str) -> DataFrame:
+    return G.mean_surface(cells(spark, sf))
+
+
+WITH = f"WITH {V.SOUNDINGS_SQL.strip()} "
+MEAN = WITH + ", mean AS (SELECT row, col, avg(depth) AS z FROM cel WHERE depth < -0.5 GROUP BY ALL)"
+OFF = f"(SELECT unnest(range(-{HALF}, {HALF} + 1)) AS dr) CROSS JOIN (SELECT unnest(range(-{HALF}, {HALF} + 1)) AS dc)"
+AROUND = MEAN + f""", nb AS (SELECT row + dr AS row, col + dc AS col, max(CASE WHEN dr = 0 AND dc = 0 THEN z END) AS z,
+  avg(CASE WHEN dr <> 0 OR dc <> 0 THEN z END) AS m, count(CASE WHEN dr <> 0 OR dc <> 0 THEN z END) AS n FROM mean, {OFF} GROUP BY ALL)"""
+RADIUS = f"""CASE WHEN r0 < 0 THEN {P.dist_scale} ELSE r0 END"""
+RAD = WITH + f""", ra AS (SELECT *, {P.dist_scale} * pow(greatest(2.0, (({P.fixed2} + {P.pct2} * depth * depth) / ({CI95} * {CI95})) / dz) - 1, {1 / P.dist_exp})
+  - {CI99_GRID} * sqrt(dr) AS r0 FROM snd), rad AS (SELECT * EXCLUDE (r0), greatest(least({RADIUS}, {CI99_GRID} * sqrt(dr)), {P.dist_scale}) AS radius FROM ra)"""
+CAND = RAD + f""", node AS (SELECT r.row, c.col, c.col * {V.SHEET.dx} + {V.SHEET.x0} AS nx, {V.SHEET.y0} - r.row * {V.SHEET.dy} AS ny
+  FROM (SELECT unnest(range({V.SHEET.rows}))::INT AS row) r, (SELECT unnest(range({V.SHEET.cols}))::INT AS col) c),
+cand AS (SELECT row, col, depth, dz, dr, pow(nx - east, 2) + pow(ny - north, 2) AS dist2 FROM rad JOIN node ON nx BETWEEN east - radius - 1 AND east + radius + 1 AND pow(nx - east, 2) + pow(ny - north, 2) < radius * radius)"""
+GATED = CAND + f""", gat AS (SELECT *, dz * (1 + {P.var_scale} * pow(sqrt(dist2) + {CI95} * sqrt(dr), {P.dist_exp})) AS var FROM cand WHERE sqrt(dist2) <= greatest({P.capture} * abs(depth), 0.5))"""
+
+
+@query(WITH + "SELECT row, col, count(*) AS hits FROM cel GROUP BY ALL")
+def hits(spark, sf):
+    return G.hits(cells(spark, sf))
+
+
+@query(WITH + "SELECT row, col, count(*) / 4.0 AS density FROM cel GROUP BY ALL")
+def density(spark, sf):
+    return G.density(cells(spark, sf), V.SHEET)
+
+
+@query(MEAN + "SELECT row, col, round(z, 4) AS z FROM mean")
+def mean_surface(spark, sf):
+    return mean(spark, sf).select("row", "col", *r4("z"))
+
+
+@query(WITH + "SELECT row, col, list_sort(list(depth))[(count(*) // 2 + 1)::INT] AS z FROM cel GROUP BY ALL")
+def median_surface(spark, sf):
+    return G.median_surface(cells(spark, sf))
+
+
+@query(WITH + "SELECT row, col, round(sqrt(greatest(avg(depth * depth) - avg(depth) * avg(depth), 0.0)), 4) AS sdev FROM cel GROUP BY ALL")
+def sdev_surface(spark, sf):
+    return G.sdev_surface(cells(spark, sf)).select("row", "col", *r4("sdev"))
+
+
+@query()
+def trimmed_mean_surface(spark, sf):
+    return G.trimmed_mean(cells(spark, sf))
+
+
+@query(WITH + f"SELECT l_orderkey, l_linenumber, round(({P.fixed2} + {P.pct2} * depth * depth) / ({CI95} * {CI95}), 6) AS dz FROM snd")
+def iho_error(spark, sf):
+    return V.soundings(spark, sf).select("l_orderkey", "l_linenumber", F.round(G.iho_error(P)[0], 6).alias("dz"))
+
+
+@query(WITH + "SELECT platform, count(*) AS n, round(avg(depth), 4) AS z FROM snd WHERE depth <= -20 AND depth >= -40 GROUP BY ALL")
+def depth_gate(spark, sf):
+    return G.depth_gate(V.soundings(spark, sf), 20, 40).groupBy("platform").agg(F.count("*").alias("n"), F.round(F.avg("depth"), 4).alias("z"))
+
+
+@query(WITH + "SELECT platform, count(*) AS n FROM snd WHERE atan2(east - 20, -depth) BETWEEN -0.5 AND 0.5 GROUP BY ALL")
+def angle_gate(spark, sf):
+    return G.angle_gate(V.soundings(spark, sf), F.col("east") - 20, -0.5, 0.5).groupBy("platform").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_name AS name, CASE WHEN contains(p_name, '1') THEN '1' WHEN contains(p_name, '2') THEN '2' WHEN contains(p_name, '12') THEN '12' END AS recog FROM part GROUP BY ALL")
+def platform_match(spark, sf):
+    spec = spark.createDataFrame([(1, "1"), (2, "2"), (3, "12")], "rank int, recog string")
+    return G.platform_match(spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_name").alias("name")), spec)
+
+
+@query(RAD + "SELECT l_orderkey, l_linenumber, round(radius, 6) AS radius FROM rad")
+def influence_radius(spark, sf):
+    return V.soundings(spark, sf).select("l_orderkey", "l_linenumber", F.round(G.influence_radius(P), 6).alias("radius"))
+
+
+def candidates(spark, sf):
+    return G.node_candidates(V.soundings(spark, sf), V.SHEET, P)
+
+
+@query(CAND + "SELECT row, col, count(*) AS n, round(sum(dist2), 4) AS d2 FROM cand GROUP BY ALL")
+def node_candidates(spark, sf):
+    return candidates(spark, sf).groupBy("row", "col").agg(F.count("*").alias("n"), F.round(F.sum("dist2"), 4).alias("d2"))
+
+
+@query(GATED + f"SELECT row, col, round(sum(depth / var) / sum(1 / var), 4) AS depth, round({CI95} * sqrt(1 / sum(1 / var)), 4) AS unct, count(*) AS n FROM gat GROUP BY ALL")
+def node_estimate_ivw(spark, sf):
+    return G.node_estimate_ivw(G.gated(candidates(spark, sf), P)).select("row", "col", *r4("depth", "unct"), "n")
+
+
+def folded(spark, sf):
+    return E.hypotheses(G.gated(candidates(spark, sf), P), V.ARRIVAL, P)
+
+
+@query()
+def node_fold_prior(spark, sf):
+    return E.prior_surface(folded(spark, sf)).select("row", "col", "depth", "unct", "nhyp")
+
+
+@query()
+def node_fold_ratio(spark, sf):
+    return E.prior_surface(folded(spark, sf)).select("row", "col", "ratio")
+
+
+def _guided(spark, sf, how):
+    nodes = folded(spark, sf).persist()
+    return E.guided_surface(nodes, E.guides(nodes, P), how)
+
+
+@query()
+def context_surface(spark, sf):
+    return _guided(spark, sf, "closest")
+
+
+@query()
+def posterior_surface(spark, sf):
+    return _guided(spark, sf, "posterior")
+
+
+@query()
+def predsurf_surface(spark, sf):
+    guide = mean(spark, sf).select("row", "col", F.col("z").alias("gz"), F.lit(1.0).alias("gv"))
+    return E.guided_surface(folded(spark, sf), guide, "closest")
+
+
+@query()
+def hypothesis_list(spark, sf):
+    return E.hypothesis_list(folded(spark, sf))
+
+
+@query()
+def hypothesis_edits(spark, sf):
+    h = E.hypothesis_list(folded(spark, sf)).persist()
+    picks = h.where("num = 1").select("row", "col", F.lit("nominate").alias("op"), F.col("cur").alias("depth"), F.lit(1).alias("at"))
+    return E.apply_edits(h, picks.unionByName(h.where("num = 2").select("row", "col", F.lit("remove").alias("op"), F.col("cur").alias("depth"), F.lit(2).alias("at"))))
+
+
+@query(MEAN + ", med AS (SELECT row, col, list_sort(list(depth))[(count(*) // 2 + 1)::INT] AS z FROM cel GROUP BY ALL) SELECT row, col, round(mean.z - med.z, 4) AS z FROM mean JOIN med USING (row, col)")
+def surface_diff(spark, sf):
+    return S.arithmetic(mean(spark, sf), G.median_surface(cells(spark, sf)), True).select("row", "col", *r4("z"))
+
+
+@query(MEAN + ", med AS (SELECT row, col, list_sort(list(depth))[(count(*) // 2 + 1)::INT] AS z FROM cel GROUP BY ALL) SELECT row, col, round(100 * (mean.z - med.z) / -mean.z, 4) AS pct FROM mean JOIN med USING (row, col)")
+def surface_pct(spark, sf):
+    m = mean(spark, sf)
+    return S.percent_of_depth(S.arithmetic(m, G.median_surface(cells(spark, sf)), True), m).select("row", "col", *r4("pct"))
+
+
+@query(MEAN + ", h AS (SELECT floor(z / 2.0)::BIGINT AS bin, count(*) AS n FROM mean GROUP BY ALL) SELECT bin, n, round(n / (sum(n) OVER () * 2.0), 6) AS pmf FROM h")
+def surface_hist(spark, sf):
+    return S.histogram(mean(spark, sf), 2.0).select("bin", "n", F.round("pmf", 6).alias("pmf"))
+
+
+@query(AROUND + f"SELECT row, col, round(CASE WHEN n = 0 THEN {math.pi / 2} ELSE atan(abs(z - m) / {DX}) END, 4) AS angle FROM nb WHERE z IS NOT NULL")
+def spike_angle(spark, sf):
+    return S.spike_angle(mean(spark, sf), HALF, DX).select("row", "col", *r4("angle"))
+
+
+@query(AROUND + f"SELECT row, col, round(CASE WHEN abs(z - m) / {DX} > {math.tan(1.2)} THEN NULL ELSE z END, 4) AS z FROM nb WHERE z IS NOT NULL")
+def despike(spark, sf):
+    return S.despike(mean(spark, sf), HALF, DX, 1.2).select("row", "col", *r4("z"))
+
+
+@query(AROUND + "SELECT row, col, round(coalesce(z, m), 4) AS z FROM nb WHERE z IS NOT NULL OR n > 7")
+def patch_surface(spark, sf):
+    return S.patch_surface(mean(spark, sf), HALF).select("row", "col", *r4("z"))
+
+
+_KERNEL = ", ".join(f"({r}, {c}, {k!r})" for r, c, k in S.gauss_kernel(HALF))
+
+
+@query(MEAN + f", k(dr, dc, w) AS (VALUES {_KERNEL}), g AS (SELECT row - dr AS row, col - dc AS col, sum(z * w) AS z, count(*) AS n FROM mean, k GROUP BY ALL) SELECT row, col, round(z, 4) AS z FROM g WHERE n = 9")
+def gauss_filter(spark, sf):
+    return S.convolve(mean(spark, sf), S.gauss_kernel(HALF)).select("row", "col", *r4("z"))
+
+
+def _mask(spark, sf):
+    return cells(spark, sf).groupBy("row", "col").agg((F.avg("depth") > -36.0).cast("int").alias("v"))
+
+
+MASK = WITH + ", mask AS (SELECT row, col, (avg(depth) > -36.0)::INT AS v FROM cel GROUP BY ALL), o(dr, dc) AS (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))"
+
+
+@query(MASK + "SELECT row, col, v FROM mask")
+def threshold(spark, sf):
+    return _mask(spark, sf)
+
+
+@query(MASK + ", s AS (SELECT row + dr AS row, col + dc AS col, sum(v) AS s, max((dr = 0 AND dc = 0)::INT) AS here FROM mask, o GROUP BY ALL) SELECT row, col, (s = 5)::INT AS v FROM s WHERE here = 1")
+def erode(spark, sf):
+    return S.erode(_mask(spark, sf), 3)
+
+
+@query(MASK + ", s AS (SELECT row + dr AS row, col + dc AS col, max(v) AS v, max((dr = 0 AND dc = 0)::INT) AS here FROM mask, o GROUP BY ALL) SELECT row, col, v FROM s WHERE here = 1")
+def dilate(spark, sf):
+    return S.dilate(_mask(spark, sf), 3)
+
+
+@query()
+def blob_stats(spark, sf):
+    return S.blob_stats(S.blobs(_mask(spark, sf)), mean(spark, sf))
+
+
+@query(MEAN + f"SELECT row + dr AS row, col + dc AS col, round(max(z), 4) AS z FROM mean, {OFF} GROUP BY ALL")
+def coverage(spark, sf):
+    return S.coverage(mean(spark, sf), HALF).select("row", "col", *r4("z"))
+
+
+@query(MEAN + ", hole AS (SELECT row, col FROM mean WHERE (row + col) % 3 = 0), src AS (SELECT * FROM mean WHERE (row + col) % 3 <> 0), c AS (SELECT h.row, h.col, greatest(abs(h.row - s.row), abs(h.col - s.col)) AS ring, s.z FROM hole h JOIN src s ON abs(h.row - s.row) <= 2 AND abs(h.col - s.col) <= 2) SELECT row, col, round(max(z), 4) AS z FROM c JOIN (SELECT row, col, min(ring) AS ring FROM c GROUP BY ALL) USING (row, col, ring) GROUP BY ALL")
+def nearest_shoal(spark, sf):
+    m = mean(spark, sf)
+    hole = (F.col("row") + F.col("col")) % 3 == 0
+    return S.nearest_shoal(m.where(~hole), m.where(hole), 2).select("row", "col", *r4("z"))
+
+
+@query(MEAN + ", f AS (SELECT 2 * a.row + i AS row, 2 * a.col + j AS col, (a.z * (1 - j / 2.0) + b.z * (j / 2.0)) * (1 - i / 2.0) + (c.z * (1 - j / 2.0) + d.z * (j / 2.0)) * (i / 2.0) AS z FROM mean a JOIN mean b ON b.row = a.row AND b.col = a.col + 1 JOIN mean c ON c.row = a.row + 1 AND c.col = a.col JOIN mean d ON d.row = a.row + 1 AND d.col = a.col + 1, (VALUES (0), (1)) x(i), (VALUES (0), (1)) y(j)) SELECT row, col, round(z, 4) AS z FROM f")
+def bilinear_resample(spark, sf):
+    return S.bilinear(mean(spark, sf), 2).select("row", "col", *r4("z"))
+
+
+@query(MEAN + ", a AS (SELECT * FROM mean WHERE row % 2 = 0) SELECT row, col, round(coalesce(a.z, m.z / 2), 4) AS z FROM a FULL JOIN mean m USING (row, col)")
+def combine_surfaces(spark, sf):
+    m = mean(spark, sf)
+    return S.combine(m.where("row % 2 = 0"), m.select("row", "col", (F.col("z") / 2).alias("z"))).select("row", "col", *r4("z"))
+
+
+@query(WITH + "SELECT platform, min(row) AS row_min, max(row) AS row_max, min(col) AS col_min, max(col) AS col_max FROM cel GROUP BY ALL")
+def sheet_extent(spark, sf):
+    return cells(spark, sf).groupBy("platform").agg(F.min("row").alias("row_min"), F.max("row").alias("row_max"), F.min("col").alias("col_min"), F.max("col").alias("col_max"))
+
+
+@query(WITH + ", n AS (SELECT row, col, platform, count(*) AS n FROM cel GROUP BY ALL) SELECT row, col, platform, n FROM n QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY n DESC, platform) = 1")
+def top_hypothesis(spark, sf):
+    n = cells(spark, sf).groupBy("row", "col", "platform").agg(F.count("*").alias("n"))
+    return n.groupBy("row", "col").agg(F.min_by(F.struct("platform", "n"), F.struct(-F.col("n"), "platform")).alias("t")).select("row", "col", "t.platform", "t.n")
+
+
+_SAMPLE = "s AS (SELECT user_id AS k, ts, value FROM events WHERE event_id % 2 = 0), t AS (SELECT user_id AS k, event_id AS id, ts FROM events WHERE event_id % 2 = 1)"
+
+
+@query(f"WITH {_SAMPLE} SELECT t.k, t.id, round(CASE WHEN a.ts = b.ts THEN a.value ELSE a.value + (epoch_us(t.ts) / 1e6 - epoch_us(a.ts) / 1e6) / (epoch_us(b.ts) / 1e6 - epoch_us(a.ts) / 1e6) * (b.value - a.value) END, 4) AS value FROM t ASOF LEFT JOIN s a ON t.k = a.k AND t.ts >= a.ts ASOF LEFT JOIN s b ON t.k = b.k AND t.ts <= b.ts")
+def time_interp(spark, sf):
+    e = V.series(spark, sf)
+    s = e.where("event_id % 2 = 0").select(F.col("user_id").alias("k"), "ts", "value")
+    t = e.where("event_id % 2 = 1").select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), "ts")
+    return T.interpolate(s, t).select("k", "id", *r4("value"))
+
+
+@query("WITH v AS (SELECT user_id, event_id, ts, value, sqrt(pow(lead(value) OVER w - value, 2) + pow(2 * (lead(value) OVER w - value), 2)) / ((epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1e6) AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)) SELECT event_id, round(coalesce(v, lag(v) OVER (PARTITION BY user_id ORDER BY ts)), 6) AS sog FROM v")
+def nav_sog(spark, sf):
+    e = V.series(spark, sf).select(F.col("user_id").alias("platform"), "event_id", "ts", F.col("value").alias("x"), (2 * F.col("value")).alias("y"))
+    return T.speed_over_ground(e).select("event_id", F.round("sog", 6).alias("sog"))
+
+
+@query(f"WITH {_SAMPLE}, i AS (SELECT t.k, t.id, CASE WHEN a.ts = b.ts THEN a.value ELSE a.value + (epoch_us(t.ts) / 1e6 - epoch_us(a.ts) / 1e6) / (epoch_us(b.ts) / 1e6 - epoch_us(a.ts) / 1e6) * (b.value - a.value) END AS tide FROM t ASOF LEFT JOIN s a ON t.k = a.k AND t.ts >= a.ts ASOF LEFT JOIN s b ON t.k = b.k AND t.ts <= b.ts) SELECT i.id, round(-e.value + i.tide, 4) AS depth FROM i JOIN events e ON e.event_id = i.id WHERE tide IS NOT NULL")
+def tide_correct(spark, sf):
+    e = V.series(spark, sf)
+    s = e.where("event_id % 2 = 0").select(F.col("user_id").alias("k"), "ts", "value")
+    t = e.where("event_id % 2 = 1").select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), "ts", (-F.col("value")).alias("depth"))
+    tide = T.interpolate(s, t).where("value is not null")
+    return t.select("id", "depth").join(tide.select("id", "value"), "id").select("id", F.round(F.col("depth") + F.col("value"), 4).alias("depth"))
