@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,11 +167,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min
     spark = docs.sparkSession
     for rows in blocks(benchmark, block_chars):
         sent = spark.sparkContext.broadcast(rows)
+        docs = docs.where(_clean(sent, rate, min_words)(text_of()))
+    return docs
 
-        def clean(parts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
-            items = Items(sent.value, rate, min_words)
-            for s in parts:
-                yield pd.Series([not items.find(t) for t in s], dtype="bool")
 
-        docs = docs.where(F.pandas_udf(clean, "boolean")(text_of()))
-    return docs
+def _clean(sent: Broadcast, rate: float, min_words: int):
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        items = Items(sent.value, rate, min_words)
+        for s in parts:
+            yield pd.Series([not items.find(t) for t in s], dtype="bool")
+
+    return F.pandas_udf(clean, "boolean")
