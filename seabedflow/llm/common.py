@@ -34,9 +34,11 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
 
     The lineage ends there: a lost executor costs the tasks it ran and nothing before this table.
     Shuffle files of the jobs before are no longer needed; Spark deletes them once the driver has
-    collected the objects that stand for them, which the collection below brings forward.
+    collected the objects that stand for them, which the collection below brings forward. The scheduler
+    holds the last job until the next one, so a job over one row runs first.
     """
     spark = df.sparkSession
+    spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/seabedflow-{uuid.uuid4().hex}-{tag}"
