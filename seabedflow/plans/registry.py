@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import projections as M
 from ..functions.params import CI95, CI99_GRID, Params
 from ..operators import estimate as E
 from ..operators import gridding as G
 from ..operators import series as T
 from ..operators import surfaces as S
+from ..sources import text as X
 from ..sources import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -304,3 +306,39 @@ def tide_correct(spark, sf):
     t = e.where("event_id % 2 = 1").select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), "ts", (-F.col("value")).alias("depth"))
     tide = T.interpolate(s, t).where("value is not null")
     return t.select("id", "depth").join(tide.select("id", "value"), "id").select("id", F.round(F.col("depth") + F.col("value"), 4).alias("depth"))
+
+
+@query("SELECT c_custkey, (c_custkey % 24 * 60 + c_custkey % 60) * 60 + 16.5 AS epoch, round(-(70 + 42.25 / 60), 8) AS lon, round(43 + (c_custkey % 60 + 0.5) / 60, 8) AS lat FROM customer")
+def gga_parse(spark, sf):
+    two = lambda n: F.lpad((F.col("c_custkey") % n).cast("string"), 2, "0")
+    line = F.concat(F.lit("$INGGA,"), two(24), two(60), F.lit("16.5,43"), two(60), F.lit(".5,N,07042.25,W,1"))
+    t = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", X.parse_gga(line).alias("g"))
+    return t.select("c_custkey", "g.epoch", F.round("g.lon", 8).alias("lon"), F.round("g.lat", 8).alias("lat"))
+
+
+@query("SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS epoch, round(value, 4) AS tide FROM events WHERE value IS NOT NULL")
+def tide_parse(spark, sf):
+    line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss "), F.col("value").cast("string"))
+    t = V.series(spark, sf).select("event_id", X.parse_tide(line, "Y-M-D h:m:s T").alias("g")).where("g is not null")
+    return t.select("event_id", "g.epoch", F.round("g.tide", 4).alias("tide"))
+
+
+def positions(spark, sf):
+    return spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", (F.col("c_custkey") % 100 / 100 - 71).alias("lon"), (F.col("c_custkey") % 37 / 10 + 41).alias("lat"))
+
+
+_MERC = M.Mercator(-70.5, 43.0)
+
+
+@query(f"WITH p AS (SELECT c_custkey, c_custkey % 100 / 100 - 71 AS lon, radians(c_custkey % 37 / 10 + 41) AS lat FROM customer) SELECT c_custkey, round(radians(lon + 70.5) * s, 3) AS east, round(s * (atanh(sin(lat)) - {M.E} * atanh({M.E} * sin(lat))), 3) AS north FROM p, (SELECT {M.A} * cos(radians(43)) / sqrt(1 - {M.E2} * pow(sin(radians(43)), 2)) AS s)")
+def mercator_forward(spark, sf):
+    x, y = _MERC.forward(F.col("lon"), F.col("lat"))
+    return positions(spark, sf).select("c_custkey", F.round(x, 3).alias("east"), F.round(y, 3).alias("north"))
+
+
+@query("SELECT c_custkey, round(c_custkey % 100 / 100 - 71, 6) AS lon, round(c_custkey % 37 / 10 + 41, 6) AS lat FROM customer")
+def utm_round_trip(spark, sf):
+    utm = M.Utm.at(-70.5, 43.0)
+    x, y = utm.forward(F.col("lon"), F.col("lat"))
+    lon, lat = utm.inverse(F.col("x"), F.col("y"))
+    return positions(spark, sf).select("c_custkey", x.alias("x"), y.alias("y")).select("c_custkey", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
