@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import interpolation_variance
 from ..functions.params import CI95, CI99_GRID, Params, SheetSpec
 
 CELL = ("row", "col")
@@ -106,3 +107,39 @@ def platform_match(files: DataFrame, platforms: DataFrame) -> DataFrame:
     """First platform (by rank) whose recognition string is part of the file name. ``platforms`` is a configuration of a few rows."""
     t = files.join(platforms, F.instr(F.col("name"), F.col("recog")) > 0, "left")
     return t.groupBy("name").agg(F.min(F.struct("rank", "recog")).alias("p")).select("name", F.col("p.recog").alias("recog"))
+
+
+def corners(surface: DataFrame, *values: str) -> DataFrame:
+    """For each place between four nodes (named by the north-west one) arrays of the values at NW, NE, SW and SE; places that lack a node are left out."""
+    o = F.array(*[F.struct(F.lit(-r).alias("dr"), F.lit(-c).alias("dc"), F.lit(2 * r + c).alias("at")) for r in (0, 1) for c in (0, 1)])
+    t = surface.select(*CELL, *values, F.explode(o).alias("o"))
+    t = t.groupBy((F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"))
+    pick = lambda v, i: F.max(F.when(F.col("o.at") == i, F.col(v)))
+    t = t.agg(*[F.array(*[pick(v, i) for i in range(4)]).alias(v) for v in values])
+    whole = [F.forall(v, lambda x: x.isNotNull()) for v in values]
+    for w in whole:
+        t = t.where(w)
+    return t
+
+
+def predict(soundings: DataFrame, surface: DataFrame, sheet: SheetSpec) -> DataFrame:
+    """Add pred_depth and pred_var: the initial surface (row, col, z, var) interpolated at each sounding (east, north, dr).
+
+    The variance holds that of the nodes and what the slope makes of the sounding's horizontal variance. Soundings between nodes that are
+    not all there have null. One join on the place between the nodes; the surface side is no larger than the sheet, and places
+    with many soundings are split by the adaptive skew join.
+    """
+    fc, fr = (F.col("east") - sheet.x0) / sheet.dx, (F.lit(sheet.y0) - F.col("north")) / sheet.dy
+    t = soundings.withColumns({"_c": F.floor(fc).cast("int"), "_r": F.floor(fr).cast("int"), "_u": fc - F.floor(fc), "_w": 1 - (fr - F.floor(fr))})
+    k = corners(surface, "z", "var").select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("z").alias("_z"), F.col("var").alias("_v"))
+    t = t.join(k, ["_r", "_c"], "left")
+    z, v = ([F.col(n)[i] for i in range(4)] for n in ("_z", "_v"))
+    u, w = F.col("_u"), F.col("_w")
+    depth = (z[0] * (1 - u) + z[1] * u) * w + (z[2] * (1 - u) + z[3] * u) * (1 - w)
+    return t.withColumns({"pred_depth": depth, "pred_var": interpolation_variance(z, v, u, w, F.col("dr"), sheet.dx, sheet.dy)}).drop("_r", "_c", "_u", "_w", "_z", "_v")
+
+
+def coverage_ratio(cells: DataFrame, sheet: SheetSpec) -> DataFrame:
+    """Hits for each area of a beam's footprint, (5 + 5 % of the depth) squared; depths count positive-down."""
+    t = cells.groupBy(*CELL).agg(F.count("*").alias("hits"), F.avg("depth").alias("z"))
+    return t.select(*CELL, (F.col("hits") / (sheet.dx * sheet.dy) * F.pow(5 - 0.05 * F.col("z"), F.lit(2.0))).alias("ratio"))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as H
 from ..functions import projections as M
 from ..functions.params import CI95, CI99_GRID, Params
 from ..operators import estimate as E
@@ -16,6 +17,7 @@ from ..operators import series as T
 from ..operators import surfaces as S
 from ..sources import text as X
 from ..sources import views as V
+from . import jobs as J
 
 Query = Callable[[SparkSession, str], DataFrame]
 P = Params()
@@ -342,3 +344,40 @@ def utm_round_trip(spark, sf):
     x, y = utm.forward(F.col("lon"), F.col("lat"))
     lon, lat = utm.inverse(F.col("x"), F.col("y"))
     return positions(spark, sf).select("c_custkey", x.alias("x"), y.alias("y")).select("c_custkey", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+_VAR = 1.3 / (100 * CI95)
+_PRED = MEAN + f""", s AS (SELECT *, east / 1.0 - floor(east / 1.0) AS u, 1 - ((40 - north) / 4 - floor((40 - north) / 4)) AS w, floor((40 - north) / 4)::INT AS r, floor(east)::INT AS c FROM snd),
+p AS (SELECT r, c, s.u, s.w, s.dr, a.z AS z0, b.z AS z1, d.z AS z2, e.z AS z3 FROM s JOIN mean a ON a.row = r AND a.col = c JOIN mean b ON b.row = r AND b.col = c + 1 JOIN mean d ON d.row = r + 1 AND d.col = c JOIN mean e ON e.row = r + 1 AND e.col = c + 1),
+q AS (SELECT r, c, (z0 * (1 - u) + z1 * u) * w + (z2 * (1 - u) + z3 * u) * (1 - w) AS z,
+  pow({_VAR!r}, 2) * (pow(z0 * (1 - u) * w, 2) + pow(z1 * u * w, 2) + pow(z2 * (1 - u) * (1 - w), 2) + pow(z3 * u * (1 - w), 2))
+  + dr * (pow((z1 - z0) * w + (z3 - z2) * (1 - w), 2) + pow((z1 - z3) * u + (z0 - z3) * (1 - u), 2) / 16) AS v FROM p)"""
+
+
+@query(_PRED + " SELECT r AS row, c AS col, count(*) AS n, round(avg(z), 4) AS pred_depth, round(avg(v), 4) AS pred_var FROM q GROUP BY ALL")
+def predicted_depth(spark, sf):
+    guide = mean(spark, sf).withColumn("var", H.prior_variance(F.col("z"), 1.3, True))
+    t = G.predict(V.soundings(spark, sf), guide, V.SHEET).where("pred_depth is not null")
+    place = (F.floor((V.SHEET.y0 - F.col("north")) / V.SHEET.dy).cast("int").alias("row"), F.floor((F.col("east") - V.SHEET.x0) / V.SHEET.dx).cast("int").alias("col"))
+    return t.groupBy(*place).agg(F.count("*").alias("n"), F.round(F.avg("pred_depth"), 4).alias("pred_depth"), F.round(F.avg("pred_var"), 4).alias("pred_var"))
+
+
+@query(WITH + "SELECT row, col, round(count(*) / 4.0 * pow(5 - 0.05 * avg(depth), 2), 4) AS ratio FROM cel GROUP BY ALL")
+def coverage_ratio(spark, sf):
+    return G.coverage_ratio(cells(spark, sf), V.SHEET).select("row", "col", *r4("ratio"))
+
+
+@query("SELECT event_id, year(ts)::INT AS year, dayofyear(ts)::INT AS yday, hour(ts)::INT AS hour, minute(ts)::INT AS minute, second(ts)::INT AS second, epoch(date_trunc('second', ts))::BIGINT AS epoch FROM events")
+def time_fields(spark, sf):
+    whole = F.col("ts").cast("long")
+    f = H.time_fields(whole)
+    stamp = H.stamp_time(F.date_format("ts", "yyyy/MM/dd:HH:mm:ss")).cast("long")
+    t = V.series(spark, sf).select("event_id", f.alias("f"), stamp.alias("epoch"))
+    return t.select("event_id", "f.year", "f.yday", "f.hour", "f.minute", "f.second", "epoch")
+
+
+@query(WITH + "SELECT platform, count(*) AS n FROM snd WHERE CASE platform WHEN 'A' THEN -depth BETWEEN 15 AND 45 AND degrees(atan2(east - 20, -depth)) BETWEEN -30 AND 30 WHEN 'N' THEN -depth BETWEEN 0 AND 50 AND degrees(atan2(east - 20, -depth)) BETWEEN -20 AND 60 ELSE degrees(atan2(east - 20, -depth)) BETWEEN -45 AND 45 AND -depth BETWEEN 0 AND 1000 END GROUP BY ALL")
+def platform_gates(spark, sf):
+    spec = spark.createDataFrame([(1, "_A", 15.0, 45.0, -30.0, 30.0), (2, "_N", 0.0, 50.0, -20.0, 60.0), (3, "line", 0.0, 1000.0, -45.0, 45.0)], "rank int, recog string, min_depth double, max_depth double, min_angle double, max_angle double")
+    t = V.soundings(spark, sf).withColumns({"file": F.concat(F.lit("line_"), F.col("platform")), "across": F.col("east") - 20})
+    return J.gated_soundings(t, spec).groupBy("platform").agg(F.count("*").alias("n"))
