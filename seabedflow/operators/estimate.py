@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,17 +56,22 @@ def guided_surface(nodes: DataFrame, guides: DataFrame, how: str) -> DataFrame:
 
 
 def guides(nodes: DataFrame, p: Params) -> DataFrame:
-    """The nearest single-hypothesis node in growing square rings; within a ring the last in scan order (top, bottom, left, right side)."""
+    """For each node of several hypotheses the nearest single-hypothesis node in growing square rings; within a ring the last in scan order
+    (top and bottom with their corners, left, right). Rings run from int(min_context) to int(max_context), in nodes and both included.
+    """
     single = nodes.where(F.size("hyps") == 1).select(*CELL, F.col("hyps")[0].cur.alias("gz"), F.col("hyps")[0].samp_var.alias("gv"))
-    lo, hi = max(1, int(p.min_context / p.dist_scale / 5)), int(p.max_context / p.dist_scale / 5) + 1
+    # ring 0 is the asking node itself
+    lo, hi = max(1, int(p.min_context / p.dist_scale)), int(p.max_context / p.dist_scale)
     offs = []
     for ring in range(lo, hi + 1):
-        side = range(-ring, ring + 1)
-        scan = [(-ring, c) for c in side] + [(ring, c) for c in side] + [(r, -ring) for r in side] + [(r, ring) for r in side]
+        row, side = range(-ring, ring + 1), range(-ring + 1, ring)
+        scan = [(-ring, c) for c in row] + [(ring, c) for c in row] + [(r, -ring) for r in side] + [(r, ring) for r in side]
         offs += [(r, c, ring, -i) for i, (r, c) in enumerate(scan)]
-    o = F.array(*[F.struct(F.lit(-r).alias("dr"), F.lit(-c).alias("dc"), F.lit(g).alias("ring"), F.lit(i).alias("scan")) for r, c, g, i in offs])
-    sent = single.withColumn("o", F.explode(o)).select((F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), "o.ring", "o.scan", "gz", "gv")
-    return sent.groupBy(*CELL).agg(F.min_by(F.struct("gz", "gv"), F.struct("ring", "scan")).alias("g")).select(*CELL, "g.gz", "g.gv")
+    o = F.from_json(F.lit(json.dumps([dict(zip(("dr", "dc", "ring", "scan"), x, strict=True)) for x in offs])), "array<struct<dr:int,dc:int,ring:int,scan:int>>")
+    asked = nodes.where(F.size("hyps") > 1).select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.explode(o).alias("o"))
+    asked = asked.select("_row", "_col", (F.col("_row") + F.col("o.dr")).alias("row"), (F.col("_col") + F.col("o.dc")).alias("col"), "o.ring", "o.scan")
+    found = asked.join(single, CELL).groupBy(F.col("_row").alias("row"), F.col("_col").alias("col"))
+    return found.agg(F.min_by(F.struct("gz", "gv"), F.struct("ring", "scan")).alias("g")).select(*CELL, "g.gz", "g.gv")
 
 
 def hypothesis_list(nodes: DataFrame) -> DataFrame:
