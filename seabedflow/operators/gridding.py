@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,20 +38,39 @@ def sdev_surface(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*CELL).agg(F.sqrt(F.greatest(F.avg(d * d) - F.avg(d) * F.avg(d), F.lit(0.0))).alias("sdev"))
 
 
-def trimmed_mean(cells: DataFrame, rounds: int = 6, tolerance: float = 0.01) -> DataFrame:
-    """Mean after clipping to two standard errors, again and again until the mean moves less than ``tolerance``.
+def trimmed_mean(cells: DataFrame, rounds: int = 100, tolerance: float = 0.01, scale: float = 2.0) -> DataFrame:
+    """Mean after clipping to ``scale`` deviations, again and again until mean and deviation of a cell both change by less than ``tolerance`` of themselves.
 
-    Each round is one aggregation and one join on the cell, so a cell of any size is spread over map tasks.
+    Each round tests all samples of the cells that still move, so a dropped sample may return. The deviation is sqrt(sum of squares / (n - 1) -
+    mean^2), as existing surfaces have it; a single sample is its own mean, that of a cell without depths is null. Cells that move after ``rounds``
+    keep the last mean and are counted in a warning. A round is one aggregation and one join on the cell, so a cell of any size is spread
+    over map tasks; what is known of each cell is written in ``spark.checkpoint.dir``.
     """
-    d = F.col("depth")
-    cur = cells.select(*CELL, "depth")
-    stat = lambda t: t.groupBy(*CELL).agg(F.avg("depth").alias("m"), (F.coalesce(F.stddev_samp("depth"), F.lit(0.0)) / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n"))
-    s = stat(cur)
+    spark = cells.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seabedflow-"))
+    own = cells.select(*CELL, "depth").persist()
+    m, se, n, pm, pse = (F.col(c) for c in ("m", "se", "n", "pm", "pse"))
+    # the sum of squares / (n - 1) - mean^2 without the difference of two large numbers
+    spread = F.when(n > 1, F.sqrt(F.col("v") + m * m / F.greatest(n - 1, F.lit(1))))
+    stat = lambda t, *kept: t.groupBy(*CELL).agg(F.avg("depth").alias("m"), F.var_samp("depth").alias("v"), F.count("depth").alias("n"), *kept).withColumn("se", spread)
+    moves = lambda x, old: (x != old) & (F.abs(x - old) >= tolerance * F.abs(x))
+    state = stat(own).select(*CELL, "m", "se", "n", (n > 1).alias("moving")).checkpoint()
+    parts = max(1, state.rdd.getNumPartitions())
     for _ in range(rounds):
-        kept = cur.join(s, list(CELL)).where((F.col("n") < 3) | (F.abs(d - F.col("m")) <= 2 * F.col("se") * F.sqrt(F.col("n"))) | (F.col("se") * F.sqrt(F.col("n")) < tolerance))
-        cur = kept.select(*CELL, "depth")
-        s = stat(cur)
-    return s.select(*CELL, F.col("m").alias("z"), F.col("n").alias("n_kept"))
+        at = state.where("moving").select(*CELL, m.alias("pm"), se.alias("pse"))
+        kept = own.join(at, list(CELL)).where(F.col("depth").between(pm - scale * pse, pm + scale * pse))
+        new = stat(kept, F.first("pm").alias("pm"), F.first("pse").alias("pse"))
+        new = new.select(*CELL, "m", "se", "n", ((n > 1) & (moves(m, pm) | moves(se, pse))).alias("moving"))
+        # the union adds partitions each round
+        state = state.where("not moving").unionByName(new).coalesce(parts).checkpoint()
+        left = state.where("moving").count()
+        if not left:
+            break
+    else:
+        warnings.warn(f"{left} cells still move after {rounds} rounds of clipping", stacklevel=2)
+    own.unpersist()
+    return state.select(*CELL, m.alias("z"), n.alias("n_kept"))
 
 
 def depth_gate(t: DataFrame, least: float, most: float) -> DataFrame:
