@@ -1,17 +1,16 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-Each paragraph (a line; lines of more than ``LONG`` words are cut at sentence ends) is a set of word 1- to 3-grams. Softmax
-regression over a sparse vocabulary of n-grams tells licence families from each other and from "unknown". The
-vocabulary has only n-grams with an anchor word, so a paragraph without one has no feature and its
-prediction is that of the bias, unknown; such paragraphs are found by a regular expression and never sent to Python.
-The confidence a family needs is calibrated on held-out unknown paragraphs so that at most 1 in 100 passes.
-A prediction counts only if some template of the family is contained in the paragraph: at least ``CONFIRM`` of the
-template's word pairs occur in it.
+A paragraph is a run of adjacent lines with words, joined, so a hard-wrapped notice is whole. ``CORES`` holds what
+identifies a notice of each family: its name in a grant, before or after "license" or in an SPDX line, or the sentence its full text
+begins with. Around each core found, ``NEAR`` words to both sides are a set of word 1- to 3-grams, and softmax regression over a sparse
+vocabulary of n-grams tells the family of the core from "unknown". The vocabulary has only n-grams with an anchor word, and
+every core holds one; paragraphs without an anchor word are found by a regular expression and never sent to Python.
+The certainty a family needs is calibrated on held-out unknown texts so that at most 1 in 100 passes for any family.
 
 Training texts are generated from ``TEMPLATES`` and ``OTHER`` with seeded word losses and neighbours; nothing is read from the corpus.
 
 Defined results: null and empty texts hold no licence; a document with several families lists them all in
-alphabetical order and its ``family`` is the one of the most certain paragraph, ties by name; repeated rows are each
+alphabetical order, ``n_paragraphs`` counts paragraphs with any, and its ``family`` is the one of the most certain paragraph, ties by name; repeated rows are each
 scanned; an empty table gives an empty table.
 """
 
@@ -30,20 +29,20 @@ from .common import text_of
 
 #: How notices of each family are usually worded.
 TEMPLATES = {
-    "agpl": ("licensed under the gnu affero general public license version 3", "released under the agpl", "spdx license identifier agpl 3 0", "agplv3 license"),
-    "apache": ("licensed under the apache license version 2 0", "released under the apache license", "apache software license", "spdx license identifier apache 2 0", "you may not use this file except in compliance with the license"),
-    "bsd": ("licensed under the bsd license", "released under the 3 clause bsd license", "bsd style license", "spdx license identifier bsd 3 clause", "redistribution and use in source and binary forms with or without modification are permitted"),
-    "cc-by": ("licensed under cc by 4 0", "licensed under a creative commons attribution 4 0 international license", "this work is available under cc by", "creative commons attribution license"),
-    "cc-by-nc": ("licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 license", "this work is available under cc by nc", "creative commons attribution noncommercial license"),
-    "cc-by-sa": ("licensed under cc by sa 4 0", "licensed under a creative commons attribution sharealike 4 0 license", "this work is available under cc by sa", "creative commons attribution sharealike license"),
-    "cc0": ("released under cc0 1 0", "dedicated to the public domain under cc0", "creative commons zero public domain dedication", "this work is in the public domain"),
-    "gpl": ("this work is licensed under the gnu general public license version 3", "released under the gpl", "spdx license identifier gpl 3 0", "under the terms of the gnu general public license as published by the free software foundation", "gplv3 license"),
-    "isc": ("licensed under the isc license", "released under the isc license", "spdx license identifier isc"),
-    "lgpl": ("licensed under the gnu lesser general public license version 3", "released under the lgpl", "spdx license identifier lgpl 3 0", "lgplv3 license"),
-    "mit": ("released under the mit license", "licensed under the mit license", "mit licensed", "spdx license identifier mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    "mpl": ("licensed under the mozilla public license version 2 0", "released under the mpl", "this source code form is subject to the terms of the mozilla public license", "spdx license identifier mpl 2 0"),
-    "proprietary": ("all rights reserved", "copyright all rights reserved no part may be reproduced without permission", "proprietary and confidential license"),
-    "unlicense": ("this is free and unencumbered software released into the public domain", "released under the unlicense", "spdx license identifier unlicense"),
+    "agpl": ("licensed under the gnu affero general public license version 3", "released under the agpl", "spdx license identifier agpl 3 0", "agplv3 license", "gnu affero general public license", "under the terms of the gnu affero general public license as published by the free software foundation either version 3", "license agpl 3 0", "agpl 3 0 licensed"),
+    "apache": ("licensed under the apache license version 2 0", "released under the apache license", "apache software license", "spdx license identifier apache 2 0", "you may not use this file except in compliance with the license", "apache license version 2 0", "apache license", "this project uses the apache license", "distributed under the apache 2 0 license", "license apache 2 0"),
+    "bsd": ("licensed under the bsd license", "released under the 3 clause bsd license", "bsd style license", "spdx license identifier bsd 3 clause", "redistribution and use in source and binary forms with or without modification are permitted", "bsd license", "bsd 3 clause license", "this project uses the bsd license", "distributed under the terms of the bsd license", "license bsd"),
+    "cc-by": ("licensed under cc by 4 0", "licensed under a creative commons attribution 4 0 international license", "this work is available under cc by", "creative commons attribution license", "cc by 4 0", "creative commons attribution 4 0 international", "license cc by 4 0"),
+    "cc-by-nc": ("licensed under cc by nc 4 0", "licensed under a creative commons attribution noncommercial 4 0 license", "this work is available under cc by nc", "creative commons attribution noncommercial license", "cc by nc 4 0", "creative commons attribution noncommercial 4 0 international", "attribution non commercial", "license cc by nc 4 0"),
+    "cc-by-sa": ("licensed under cc by sa 4 0", "licensed under a creative commons attribution sharealike 4 0 license", "this work is available under cc by sa", "creative commons attribution sharealike license", "cc by sa 4 0", "creative commons attribution sharealike 4 0 international", "attribution share alike", "license cc by sa 4 0"),
+    "cc0": ("released under cc0 1 0", "dedicated to the public domain under cc0", "creative commons zero public domain dedication", "this work is in the public domain", "cc0 1 0 universal", "license cc0 1 0", "spdx license identifier cc0 1 0"),
+    "gpl": ("this work is licensed under the gnu general public license version 3", "released under the gpl", "spdx license identifier gpl 3 0", "under the terms of the gnu general public license as published by the free software foundation", "gplv3 license", "licensed under the gnu general public license version 3", "gnu general public license", "it under the terms of the gnu general public license as published by", "gnu gpl version 2", "gpl license", "this project uses the gpl license", "license gpl 3 0"),
+    "isc": ("licensed under the isc license", "released under the isc license", "spdx license identifier isc", "isc license", "this project uses the isc license", "license isc", "isc licensed", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    "lgpl": ("licensed under the gnu lesser general public license version 3", "released under the lgpl", "spdx license identifier lgpl 3 0", "lgplv3 license", "gnu lesser general public license", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1", "gnu library general public license", "distributed under the lgplv2 1", "license lgpl 3 0"),
+    "mit": ("released under the mit license", "licensed under the mit license", "mit licensed", "spdx license identifier mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "mit license", "the mit license mit", "mit style license", "this project uses the mit license", "distributed under the terms of the mit license", "license mit"),
+    "mpl": ("licensed under the mozilla public license version 2 0", "released under the mpl", "this source code form is subject to the terms of the mozilla public license", "spdx license identifier mpl 2 0", "mozilla public license version 2 0", "mozilla public license", "this project uses the mpl 2 0 license", "license mpl 2 0"),
+    "proprietary": ("all rights reserved", "copyright all rights reserved no part may be reproduced without permission", "proprietary and confidential license", "this file is proprietary and confidential", "copyright 2020 company inc all rights reserved"),
+    "unlicense": ("this is free and unencumbered software released into the public domain", "released under the unlicense", "spdx license identifier unlicense", "the unlicense", "this project uses the unlicense", "license unlicense"),
 }
 #: Sentences with the same words that grant nothing.
 OTHER = (
@@ -53,11 +52,47 @@ OTHER = (
     "the mozilla browser was updated", "the reserved seats were all taken", "the domain of this function is public knowledge", "all rights of way are reserved for walkers", "a warranty covers parts for two years",
     "the plate on the car and the license number", "software is used in the lab without modification", "the isc conference met in spring", "attribution of the painting is disputed", "commercial fishing requires a license",
 )
-ANCHORS = ("license", "licensed", "licence", "licenced", "licensing", "copyright", "creative", "commons", "apache", "mit", "bsd", "gnu", "gpl", "gplv2", "gplv3", "lgpl", "lgplv3", "agpl", "agplv3", "affero", "mozilla", "mpl", "isc", "cc", "cc0", "spdx", "unlicense", "domain", "rights", "reserved", "redistribution", "permission", "warranty", "proprietary")
-LONG, CONFIRM = 120, 0.75
+ANCHORS = ("license", "licensed", "licence", "licenced", "licensing", "copyright", "creative", "commons", "apache", "mit", "bsd", "gnu", "gpl", "gplv2", "gplv3", "lgpl", "lgplv3", "lgplv2", "agpl", "agplv3", "affero", "mozilla", "mpl", "isc", "cc", "cc0", "spdx", "unlicense", "domain", "rights", "reserved", "redistribution", "permission", "warranty", "proprietary")
+NEAR = 8
+_GRANT = r"(?:licensed|released|distributed|redistributed|available|published|provided|issued|offered|covered|shared)(?: \w+){0,3} (?:under|by|with)(?: \w+){0,6}?"
+_NAMES = {
+    "agpl": r"(?:gnu )?affero general public license|(?:gnu )?agpl(?:v?3)?",
+    "apache": r"apache(?: software)?(?: license| 2)",
+    "bsd": r"(?:[0234] clause )?bsd(?: [0234] clause)?",
+    "cc-by": r"cc by(?! nc| sa| nd)|creative commons attribution(?! non ?commercial| share ?alike| no ?deriv)",
+    "cc-by-nc": r"cc by nc|creative commons attribution non ?commercial",
+    "cc-by-sa": r"cc by sa|creative commons attribution share ?alike",
+    "cc0": r"cc0|cc zero|creative commons zero",
+    "gpl": r"gnu general public license|(?:gnu )?gpl(?:v?[123])?",
+    "isc": r"isc",
+    "lgpl": r"(?:gnu )?(?:lesser|library) general public license|(?:gnu )?lgpl(?:v?[123])?",
+    "mit": r"mit|expat",
+    "mpl": r"mozilla public license|mpl(?:v?[12])?",
+    "unlicense": r"unlicense",
+}
+#: What identifies a notice by itself.
+_WHOLE = {
+    "agpl": r"affero general public license",
+    "apache": r"apache (?:software )?license|you may not use this file except in compliance with the license",
+    "bsd": r"bsd style license|redistribution and use in source and binary forms",
+    "cc-by": r"cc by [1-4] 0|creative commons attribution(?: [1-4] 0)?(?: international)? license|creative commons attribution [1-4] 0",
+    "cc-by-nc": r"cc by nc|creative commons attribution non ?commercial|attribution non ?commercial [1-4] 0",
+    "cc-by-sa": r"cc by sa|creative commons attribution share ?alike|attribution share ?alike [1-4] 0",
+    "cc0": r"cc0 1 0|cc0 universal|creative commons zero|public domain dedication|(?:work|text|file|document) is in the public domain|dedicated to the public domain",
+    "gpl": r"gnu general public license|gnu gpl",
+    "isc": r"permission to use copy modify and(?: or)? distribute this software for any purpose",
+    "lgpl": r"(?:lesser|library) general public license|gnu lgpl",
+    "mit": r"mit licensed|permission is hereby granted free of charge to any person obtaining a copy",
+    "mpl": r"mozilla public license",
+    "proprietary": r"all rights reserved|proprietary and confidential",
+    "unlicense": r"free and unencumbered software released into the public domain|the unlicense",
+}
+CORES = {
+    f: re.compile(r"\b(?:" + "|".join([_WHOLE[f]] * (f in _WHOLE) + [rf"{_GRANT} (?:{n})|(?:{n})(?: v?\d+)?(?: \d+)?(?: only| or later| style)? licensed?|license(?: identifier)?(?: is| type)?(?: the)? (?:{n})" for n in [_NAMES.get(f)] if n]) + r")\b")
+    for f in sorted(_WHOLE)
+}
 UNKNOWN = "unknown"
 _WORD = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
 def words_of(text: str) -> list[str]:
@@ -87,7 +122,9 @@ class LicenseModel:
         rows = [(self.names.index(f), _varied(words_of(t), rng, filler)) for f, ts in TEMPLATES.items() for t in ts for _ in range(copies)]
         rows += [(0, _varied(words_of(t), rng, filler)) for t in OTHER for _ in range(copies * 2)]
         pool = [w for f in TEMPLATES.values() for t in f for w in words_of(t)]
-        rows += [(0, rng.sample(pool, rng.randint(1, 8))) for _ in range(copies * 20)]
+        mixed = (rng.sample(pool, rng.randint(1, 8)) for _ in range(copies * 20))
+        # words that happen to make up a core are no example of unknown
+        rows += [(0, ws) for ws in mixed if not any(r.search(" ".join(ws)) for r in CORES.values())]
         rng.shuffle(rows)
         held, used = rows[::5], [r for i, r in enumerate(rows) if i % 5]
         vocabulary = sorted({g for _, ws in used for g in grams(ws)})
@@ -108,10 +145,8 @@ class LicenseModel:
             theta += 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         self.theta = theta
         self.threshold = 0.0
-        foreign = sorted((self.predict(ws)[1] if self.predict(ws)[0] != UNKNOWN else 0.0) for c, ws in held if c == 0)
+        foreign = sorted(max(self.certainty(f, ws) for f in CORES) for c, ws in held if c == 0)
         self.threshold = max(0.5, foreign[int(len(foreign) * (1 - pass_rate))])
-        pairs = lambda ws: set(zip(ws, ws[1:], strict=False)) or {(w,) for w in ws}
-        self.templates = {f: [pairs(words_of(t)) for t in ts] for f, ts in TEMPLATES.items()}
 
     def _row(self, words: Sequence[str]) -> np.ndarray:
         x = np.zeros(len(self.index) + 1)
@@ -122,34 +157,35 @@ class LicenseModel:
                 x[i] = 1
         return x
 
-    def predict(self, words: Sequence[str]) -> tuple[str, float]:
+    def certainty(self, family: str, words: Sequence[str]) -> float:
+        """Probability of the family where only it and unknown come into question."""
         at = [i for i in (self.index.get(g) for g in grams(words)) if i is not None]
         z = self.theta[at].sum(0) + self.theta[-1]
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        best = int(p.argmax())
-        return (self.names[best], float(p[best])) if p[best] >= self.threshold else (UNKNOWN, float(p[0]))
+        return float(1 / (1 + np.exp(np.clip(z[0] - z[self.names.index(family)], -50, 50))))
 
-    def likeness(self, family: str, words: Sequence[str]) -> float:
-        have = set(zip(words, words[1:], strict=False)) | {(w,) for w in words}
-        return max(len(t & have) / len(t) for t in self.templates[family])
-
-    def paragraph(self, text: str) -> tuple[str, float, float] | None:
-        """(family, confidence, likeness to its nearest template) of a confirmed paragraph."""
-        ws = words_of(text)
-        family, sure = self.predict(ws)
-        if family == UNKNOWN:
-            return None
-        like = self.likeness(family, ws)
-        return (family, sure, like) if like >= CONFIRM else None
+    def paragraph(self, text: str) -> list[tuple[str, float]]:
+        """(family, certainty) of each family confirmed in the paragraph."""
+        joined, found = " ".join(words_of(text)), {}
+        for family, core in CORES.items():
+            for m in core.finditer(joined):
+                before, after = joined[: m.start()].split()[-NEAR:], joined[m.end() :].split(None, NEAR)[:NEAR]
+                sure = self.certainty(family, [*before, *m[0].split(), *after])
+                if sure >= self.threshold:
+                    found[family] = max(sure, found.get(family, 0.0))
+        return list(found.items())
 
 
 def paragraphs(text: str) -> Iterator[str]:
+    """Runs of adjacent lines that hold words."""
+    lines = []
     for line in text.split("\n"):
-        if line.count(" ") < LONG:
-            yield line
-        else:
-            yield from _SENTENCE.split(line)
+        if _WORD.search(line):
+            lines.append(line)
+        elif lines:
+            yield "\n".join(lines)
+            lines = []
+    if lines:
+        yield "\n".join(lines)
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
@@ -163,9 +199,10 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFra
         for s in parts:
             out = []
             for t in s:
-                found = [f for p in paragraphs(t or "") if anchor.search(p) and (f := m.paragraph(p))]
+                each = [f for p in paragraphs(t or "") if anchor.search(p) and (f := m.paragraph(p))]
+                found = [f for fs in each for f in fs]
                 best = min(found, key=lambda f: (-f[1], f[0]), default=(None, None, None))
-                out.append((best[0], sorted({f[0] for f in found}), len(found), best[1]))
+                out.append((best[0], sorted({f[0] for f in found}), len(each), best[1]))
             yield pd.DataFrame(out, columns=["family", "families", "n_paragraphs", "confidence"])
 
     udf = F.pandas_udf(scanned, "family string, families array<string>, n_paragraphs long, confidence double")
