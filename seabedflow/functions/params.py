@@ -100,6 +100,13 @@ class Params:
     blunder_scalar: float = 3.0
     min_context: float = 5.0
     max_context: float = 10.0
+    #: ``sample``, ``posterior`` or ``max``: the variance that uncertainties are reported from.
+    uncertainty: str = "sample"
+
+    @classmethod
+    def for_spacing(cls, dx: float, dy: float, **kw) -> Params:
+        """Settings for a node spacing: distances are scaled by the smaller one, contexts in metres become nodes by it."""
+        return cls(dist_scale=min(dx, dy), **kw)
 
     @property
     def fixed2(self) -> float:

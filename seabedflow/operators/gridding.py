@@ -113,12 +113,32 @@ def node_candidates(t: DataFrame, sheet: SheetSpec, p: Params) -> DataFrame:
 
 
 def gated(t: DataFrame, p: Params) -> DataFrame:
-    """Capture distance and distance-diluted variance; rows are (sounding, node) pairs of :func:`node_candidates`."""
-    t = t.where(F.sqrt("dist2") <= F.greatest(p.capture * F.abs("depth"), F.lit(0.5)))
+    """Capture distance and distance-diluted variance; rows are (sounding, node) pairs of :func:`node_candidates`.
+
+    Where pairs have the initial surface at their node (``node_depth``, ``node_var``; :func:`at_nodes`), a frozen node (NaN) takes nothing, soundings
+    deeper than the blunder limit are dropped, and the capture distance goes by the node's depth. Where they also have the surface at
+    the sounding (``pred_depth``; :func:`predict`), the depth is moved by the slope between the two. Nodes and soundings
+    without a prediction (null) are treated as if there were no surface.
+    """
+    target = F.col("depth")
+    if "node_depth" in t.columns:
+        z = F.col("node_depth")
+        limit = F.least(z - p.blunder_min, z - p.blunder_pct * F.abs(z), z - p.blunder_scalar * F.sqrt("node_var"))
+        t = t.where(z.isNull() | (~F.isnan(z) & (F.col("depth") >= limit)))
+        target = F.coalesce(z, target)
+    t = t.where(F.sqrt("dist2") <= F.greatest(p.capture * F.abs(target), F.lit(0.5)))
+    if {"node_depth", "pred_depth"} <= set(t.columns):
+        t = t.withColumn("depth", F.col("depth") + F.coalesce(F.col("node_depth") - F.col("pred_depth"), F.lit(0.0)))
     dist = F.sqrt("dist2") + CI95 * F.sqrt("dr")
     return t.withColumn("var", F.col("dz") * (1 + p.var_scale * F.pow(dist, F.lit(p.dist_exp))))
 
 
+def at_nodes(pairs: DataFrame, surface: DataFrame) -> DataFrame:
+    """Pairs with the initial surface (row, col, z, var; z NaN: frozen) at their node as ``node_depth`` and ``node_var``; null where it has none."""
+    s = surface.select(*CELL, F.col("z").alias("node_depth"), F.col("var").alias("node_var"))
+    return pairs.join(s, list(CELL), "left")
+
+
 def node_estimate_ivw(t: DataFrame) -> DataFrame:
     """The filter in closed form where no hypothesis is split: precision-weighted mean, variance and confidence limit."""
     w = 1 / F.col("var")

@@ -12,15 +12,19 @@ from collections.abc import Iterable
 
 from ..functions.params import CI95, CI99_NODE, Params
 
-HYP = ("cur", "cur_var", "pred", "pred_var", "cum_bf", "run", "num", "n", "samp_var", "mean")
+HYP = ("cur", "cur_var", "pred", "pred_var", "cum_bf", "run", "num", "n", "samp_var")
 
 
 def new_state() -> dict:
     return {"queue": [], "hyps": [], "nominated": None}
 
 
-def _hypothesis(depth: float, var: float, num: int) -> dict:
-    return {"cur": depth, "cur_var": var, "pred": depth, "pred_var": var, "cum_bf": 1.0, "run": 0, "num": num, "n": 1, "samp_var": 0.0, "mean": depth}
+def add_hypothesis(state: dict, depth: float, var: float, n: int = 1) -> None:
+    """Start a hypothesis; its number is one more than that of the newest. With ``n`` = 0 it is a null hypothesis of an initial surface,
+    which takes part in matching but is extracted only once data has joined it."""
+    hyps = state["hyps"]
+    num = max((h["num"] for h in hyps), default=0) + 1
+    hyps.append({"cur": depth, "cur_var": var, "pred": depth, "pred_var": var, "cum_bf": 1.0, "run": 0, "num": num, "n": n, "samp_var": 0.0})
 
 
 def monitor(h: dict, depth: float, var: float, p: Params) -> bool:
@@ -35,16 +39,17 @@ def monitor(h: dict, depth: float, var: float, p: Params) -> bool:
 
 
 def update_hypothesis(h: dict, depth: float, var: float, p: Params) -> bool:
+    """One step of the filter; the sample variance is a recursion about the filter's own estimate before the step."""
     if not monitor(h, depth, var, p):
         return False
-    h["n"] += 1
-    step = depth - h["mean"]
-    h["mean"] += step / h["n"]
-    h["samp_var"] += (step * (depth - h["mean"]) - h["samp_var"]) / h["n"]
+    n = h["n"]
+    if n:
+        h["samp_var"] = (n - 1) * h["samp_var"] / n + (depth - h["cur"]) ** 2 / n
     old, pv = h["cur_var"], h["pred_var"]
     h["pred"] += pv / (var + pv) * (depth - h["pred"])
     h["cur"], h["cur_var"] = h["pred"], var * pv / (var + pv)
     h["pred_var"] = h["cur_var"] + old * (1 - p.discount) / p.discount
+    h["n"] = n + 1
     return True
 
 
@@ -56,7 +61,7 @@ def update(state: dict, depth: float, var: float, p: Params) -> None:
         if update_hypothesis(best, depth, var, p):
             return
         best["cum_bf"], best["run"] = 1.0, 0
-    hyps.append(_hypothesis(depth, var, len(hyps) + 1))
+    add_hypothesis(state, depth, var)
 
 
 def truncate(queue: list, p: Params) -> list:
@@ -75,38 +80,53 @@ def truncate(queue: list, p: Params) -> list:
     return [e for e in queue if stays(e[0])]
 
 
-def _put(queue: list, depth: float, var: float) -> None:
-    at = 0
-    while at < len(queue) and queue[at][0] >= depth:
-        at += 1
-    queue.insert(at, [depth, var])
-
-
 def insert(state: dict, depth: float, var: float, p: Params) -> None:
-    """Into the depth-descending queue; a full queue first releases its median to the filter."""
+    """Into the depth-descending queue; a full queue first releases its median to the filter. New data clears a nomination.
+
+    Among equal depths a new one goes first while the queue fills; later it goes behind the equals that are shallower than the
+    released median and before all others.
+    """
     q = state["queue"]
+    state["nominated"] = None
+    at = 0
     if len(q) < p.queue_length:
-        _put(q, depth, var)
+        while at < len(q) and q[at][0] > depth:
+            at += 1
+        q.insert(at, [depth, var])
         return
-    update(state, *q.pop(p.queue_length // 2), p)
-    _put(q, depth, var)
+    middle = p.queue_length // 2
+    out = q.pop(middle)
+    if depth > out[0]:
+        at = middle
+        while at > 0 and depth > q[at - 1][0]:
+            at -= 1
+    else:
+        at = middle
+        while at < len(q) and depth < q[at][0]:
+            at += 1
+    q.insert(at, [depth, var])
     if q[0][0] - CI99_NODE * math.sqrt(q[0][1]) >= q[-1][0] + CI99_NODE * math.sqrt(q[-1][1]):
         state["queue"] = truncate(q, p)
+    update(state, *out, p)
+
+
+def drain_order(n: int) -> list[int]:
+    """The walk through a queue of ``n``: from the middle (the shallower of two) to and fro, first towards the deep end if ``n`` is even and
+    towards the shallow end if it is odd."""
+    at, step = (n // 2 - 1, 1) if n % 2 == 0 else (n // 2, -1)
+    out = []
+    while at >= 0 and n:
+        out.append(at)
+        at += step
+        step = -step - (1 if step > 0 else -1)
+    return out
 
 
 def flushed(state: dict, p: Params) -> dict:
-    """A copy with the queue drained from the median outwards, the shallower of a middle pair first."""
+    """A copy with the queue truncated and drained from the median outwards."""
     s = copy.deepcopy(state)
     q, s["queue"] = truncate(s["queue"], p), []
-    lo = (len(q) - 1) // 2
-    order, hi = [], lo + 1
-    while lo >= 0 or hi < len(q):
-        if lo >= 0:
-            order.append(lo)
-        if hi < len(q):
-            order.append(hi)
-        lo, hi = lo - 1, hi + 1
-    for i in order:
+    for i in drain_order(len(q)):
         update(s, *q[i], p)
     return s
 
@@ -118,32 +138,39 @@ def fold(pairs: Iterable[tuple[float, float]], p: Params, state: dict | None = N
     return s
 
 
-def _result(h: dict, ratio: float, nhyp: int) -> dict:
-    return {"depth": h["cur"], "unct": CI95 * math.sqrt(max(h["samp_var"], 0.0)), "ratio": ratio, "nhyp": nhyp, "n": h["n"]}
+def variance(h: dict, p: Params) -> float:
+    """What the reported uncertainty is made of: the sample variance, the filter's posterior variance, or the larger one."""
+    kinds = {"sample": h["samp_var"], "posterior": h["cur_var"]}
+    return max(kinds.values()) if p.uncertainty == "max" else kinds[p.uncertainty]
+
+
+def _result(h: dict, ratio: float, nhyp: int, p: Params) -> dict:
+    return {"depth": h["cur"], "unct": CI95 * math.sqrt(max(variance(h, p), 0.0)), "ratio": ratio, "nhyp": nhyp, "n": h["n"]}
 
 
 def extract(state: dict, p: Params, guide: tuple[float, float] | None = None, how: str = "prior") -> dict | None:
     """depth, unct, ratio, nhyp, n of the nominated hypothesis, else by ``how``:
 
-    ``prior``: most samples, the earliest of equals; ``closest``: least normalised distance to the guide (depth, variance);
-    ``posterior``: log samples minus half the squared distance. A guide without variance falls back to ``prior``.
+    ``prior``: most samples, the earliest of equals; ``closest``: least distance to the guide (depth, variance); ``posterior``: log
+    samples minus half the squared normalised distance, both the newest of equals. A guide without variance falls back to ``prior``. The
+    strength is 5 less the chosen one's samples over those of the next (``prior``) or of all others, and 0 at least.
     """
     hyps = [h for h in flushed(state, p)["hyps"] if h["n"] > 0]
     if not hyps:
         return None
     if state["nominated"] is not None:
-        return _result(next(h for h in hyps if h["num"] == state["nominated"]), 0.0, len(hyps))
+        return _result(next(h for h in hyps if h["num"] == state["nominated"]), 0.0, len(hyps), p)
     by_n = sorted(hyps, key=lambda h: (-h["n"], h["num"]))
     if len(hyps) == 1:
-        return _result(hyps[0], 0.0, 1)
+        return _result(hyps[0], 0.0, 1, p)
     if how == "prior" or guide is None or not guide[1] > 0:
-        return _result(by_n[0], max(0.0, 5.0 - by_n[0]["n"] / by_n[1]["n"]), len(hyps))
+        return _result(by_n[0], max(0.0, 5.0 - by_n[0]["n"] / by_n[1]["n"]), len(hyps), p)
     if how == "closest":
-        h = min(hyps, key=lambda h: (abs(h["cur"] - guide[0]), h["num"]))
+        h = min(hyps, key=lambda h: (abs(h["cur"] - guide[0]), -h["num"]))
     else:
-        h = max(hyps, key=lambda h: (math.log(h["n"]) - (h["cur"] - guide[0]) ** 2 / (2 * guide[1]), -h["num"]))
+        h = max(hyps, key=lambda h: (math.log(h["n"]) - (h["cur"] - guide[0]) ** 2 / (2 * guide[1]), h["num"]))
     rest = sum(x["n"] for x in hyps) - h["n"]
-    return _result(h, max(0.0, 5.0 - h["n"] / rest), len(hyps))
+    return _result(h, max(0.0, 5.0 - h["n"] / rest), len(hyps), p)
 
 
 def nominate(state: dict, depth: float, tolerance: float = 0.01) -> bool:
@@ -159,6 +186,10 @@ def unnominate(state: dict) -> bool:
     return had
 
 
+def is_nominated(state: dict) -> bool:
+    return state["nominated"] is not None
+
+
 def remove(state: dict, depth: float, tolerance: float = 0.01) -> bool:
     """Delete a hypothesis if exactly one is within the tolerance."""
     near = [h for h in state["hyps"] if abs(h["cur"] - depth) < tolerance]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as H
 from ..functions import projections as M
-from ..functions.params import CI95, CI99_GRID, Params
+from ..functions.params import CI95, CI99_GRID, CI99_NODE, Params
 from ..operators import estimate as E
 from ..operators import gridding as G
 from ..operators import series as T
@@ -18,6 +18,7 @@ from ..operators import surfaces as S
 from ..sources import text as X
 from ..sources import views as V
 from . import jobs as J
+from .store import shared_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 P = Params()
@@ -137,51 +138,140 @@ def node_estimate_ivw(spark, sf):
     return G.node_estimate_ivw(G.gated(candidates(spark, sf), P)).select("row", "col", *r4("depth", "unct"), "n")
 
 
+_ARRIVAL = ", ".join(V.ARRIVAL)
+_Q, _MID = P.queue_length, P.queue_length // 2
+_HYP = "STRUCT(num INT, cur DOUBLE, cv DOUBLE, pred DOUBLE, pv DOUBLE, cum DOUBLE, run INT, n BIGINT, sv DOUBLE)"
+#: The node filter as a recursion over all nodes at once: step k takes the k-th sounding of each node, step n + 1 puts the queue into the order of the drain,
+#: later steps drain it. ``q`` is the queue, ``hy`` the hypotheses from the oldest on.
+FOLD = GATED.replace("WITH ", "WITH RECURSIVE ", 1).replace("cand AS (SELECT row,", f"cand AS (SELECT {_ARRIVAL}, row,", 1) + f""",
+sq AS (SELECT row, col, depth, var, row_number() OVER (PARTITION BY row, col ORDER BY {_ARRIVAL}) AS k FROM gat),
+st(row, col, n, k, q, hy) AS (
+  SELECT row, col, count(*), 0::BIGINT, []::STRUCT(d DOUBLE, v DOUBLE)[], []::{_HYP}[] FROM sq GROUP BY row, col
+  UNION ALL
+  SELECT row, col, n, k, q, CASE WHEN o IS NULL THEN hy WHEN ok THEN hy[1:bi - 1] || [struct_pack(num := h.num, cur := h.pred + gain * inn, cv := o.v * h.pv / (o.v + h.pv), pred := h.pred + gain * inn,
+      pv := o.v * h.pv / (o.v + h.pv) + h.cv * (1 - {P.discount}) / {P.discount}, cum := cum2, run := run2, n := h.n + 1, sv := (h.n - 1) * h.sv / h.n + (o.d - h.cur) * (o.d - h.cur) / h.n)::{_HYP}] || hy[bi + 1:len(hy)]
+    ELSE CASE WHEN bi IS NULL THEN hy ELSE hy[1:bi - 1] || [struct_pack(num := h.num, cur := h.cur, cv := h.cv, pred := h.pred, pv := h.pv, cum := 1.0, run := 0, n := h.n, sv := h.sv)::{_HYP}] || hy[bi + 1:len(hy)] END
+      || [struct_pack(num := coalesce(hy[len(hy)].num, 0) + 1, cur := o.d, cv := o.v, pred := o.d, pv := o.v, cum := 1.0, run := 0, n := 1, sv := 0.0)::{_HYP}] END
+  FROM (
+    SELECT *, h.pv / (o.v + h.pv) AS gain, o.d - h.pred AS inn, coalesce(bi IS NOT NULL AND bf >= {P.bayes_threshold} AND cum2 >= {P.bayes_threshold} AND run2 <= {P.run_limit}, false) AS ok FROM (
+      SELECT *, CASE WHEN bf < {P.bayes_threshold} THEN h.run WHEN h.cum < 1 THEN h.run + 1 ELSE 1 END AS run2, CASE WHEN bf < {P.bayes_threshold} THEN h.cum ELSE bf * least(1.0, h.cum) END AS cum2 FROM (
+        SELECT *, exp(least(0.5 * ({P.est_offset} * {P.est_offset} - 2 * {P.est_offset} * abs((o.d - h.pred) / sqrt(h.pv + o.v))), 700.0)) AS bf FROM (
+          SELECT *, hy[bi] AS h FROM (
+            SELECT *, CASE WHEN len(er) > 0 THEN len(er) + 1 - list_position(list_reverse(er), list_min(er)) END AS bi FROM (
+              SELECT row, col, n, k, hy, o, CASE WHEN k = n + 1 THEN list_transform(range(len(q2)), lambda i:
+                  q2[(CASE WHEN len(q2) % 2 = 0 THEN len(q2) // 2 + CASE WHEN i % 2 = 0 THEN -(i // 2) ELSE (i + 1) // 2 END ELSE len(q2) // 2 + 1 + CASE WHEN i % 2 = 0 THEN i // 2 ELSE -((i + 1) // 2) END END)::BIGINT]) ELSE q2 END AS q,
+                CASE WHEN o IS NULL THEN [] ELSE list_transform(hy, lambda y: abs((o.d - y.pred) / sqrt(y.pv + o.v))) END AS er FROM (
+                SELECT *, CASE WHEN cut AND nn >= 2 THEN list_filter(q1, lambda e: NOT coalesce((e.d - mu) * (e.d - mu) / nullif(kk - (e.d - mu) * (e.d - mu) / (nn - 1), 0) >= {P.quotient_limit}, false)) ELSE q1 END AS q2 FROM (
+                  SELECT *, nn * list_sum(list_transform(q1, lambda e: (e.d - mu) * (e.d - mu))) / (nn * nn - 1) AS kk FROM (
+                    SELECT *, list_sum(list_transform(q1, lambda e: e.d)) / len(q1) AS mu, len(q1) - 1 AS nn,
+                      k = n + 1 OR (o IS NOT NULL AND k <= n AND q1[1].d - {CI99_NODE} * sqrt(q1[1].v) >= q1[len(q1)].d + {CI99_NODE} * sqrt(q1[len(q1)].v)) AS cut FROM (
+                      SELECT *, CASE WHEN k > n THEN q0 ELSE q0[1:ps] || [x] || q0[ps + 1:len(q0)] END AS q1 FROM (
+                        SELECT *, CASE WHEN full_ AND k <= n THEN q[1:{_MID}] || q[{_MID + 2}:len(q)] ELSE q END AS q0,
+                          CASE WHEN NOT full_ THEN len(list_filter(q, lambda e: e.d > x.d)) WHEN x.d > o.d THEN len(list_filter(q[1:{_MID}], lambda e: e.d >= x.d))
+                            ELSE {_MID} + len(list_filter(q[{_MID + 2}:len(q)], lambda e: e.d > x.d)) END AS ps FROM (
+                          SELECT st.row, st.col, st.n, st.k + 1 AS k, st.q, st.hy, len(st.q) >= {_Q} AS full_, struct_pack(d := sq.depth, v := sq.var) AS x,
+                            CASE WHEN st.k + 1 > st.n + 1 THEN st.q[st.k - st.n] WHEN st.k + 1 <= st.n AND len(st.q) >= {_Q} THEN st.q[{_MID + 1}] END AS o
+                          FROM st LEFT JOIN sq ON sq.row = st.row AND sq.col = st.col AND sq.k = st.k + 1 WHERE st.k < st.n + 1 + len(st.q)))))))))))))),
+hy AS (SELECT row, col, h.* FROM (SELECT row, col, unnest(hy) AS h FROM st WHERE k = n + 1 + len(q))),
+best AS (SELECT *, count(*) OVER c AS nhyp, sum(n) OVER c AS total, row_number() OVER (PARTITION BY row, col ORDER BY n DESC, num) AS place, max(num) OVER c AS top FROM hy WINDOW c AS (PARTITION BY row, col)),
+prior AS (SELECT a.row, a.col, a.cur AS depth, {CI95} * sqrt(a.sv) AS unct, CASE WHEN a.nhyp = 1 THEN 0 ELSE greatest(0, 5 - a.n / b.n) END AS ratio, a.nhyp, a.n
+  FROM best a LEFT JOIN best b ON b.row = a.row AND b.col = a.col AND b.place = 2 WHERE a.place = 1)"""
+_LO, _HI = max(1, int(P.min_context / P.dist_scale)), int(P.max_context / P.dist_scale)
+GUIDE = FOLD + f""", ask AS (SELECT DISTINCT row, col FROM best WHERE nhyp > 1), one AS (SELECT row, col, cur, sv FROM best WHERE nhyp = 1),
+met AS (SELECT a.row, a.col, o.cur AS gz, o.sv AS gv, o.row - a.row AS dr, o.col - a.col AS dc, greatest(abs(o.row - a.row), abs(o.col - a.col)) AS ring FROM ask a, one o),
+guide AS (SELECT row, col, gz, gv FROM met WHERE ring BETWEEN {_LO} AND {_HI} QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY ring,
+  CASE WHEN dr = -ring THEN dc WHEN dr = ring THEN 1000 + dc WHEN dc = -ring THEN 2000 + dr ELSE 3000 + dr END DESC) = 1)"""
+
+
+def _guided_sql(score: str) -> str:
+    return f""", pick AS (SELECT b.*, gv FROM best b JOIN guide g USING (row, col) WHERE gv > 0 QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY {score} DESC, num DESC) = 1)
+SELECT p.row, p.col, round(coalesce(k.cur, p.depth), 4) AS depth, round(coalesce({CI95} * sqrt(k.sv), p.unct), 4) AS unct,
+  round(CASE WHEN k.cur IS NULL THEN p.ratio WHEN k.nhyp = 1 THEN 0 ELSE greatest(0, 5 - k.n / (k.total - k.n)) END, 4) AS ratio, p.nhyp, coalesce(k.n, p.n) AS n
+FROM prior p LEFT JOIN pick k USING (row, col)"""
+
+
+_CLOSEST, _POSTERIOR = "-abs(cur - gz)", "ln(n) - (cur - gz) * (cur - gz) / (2 * gv)"
+
+
 def folded(spark, sf):
     return E.hypotheses(G.gated(candidates(spark, sf), P), V.ARRIVAL, P)
 
 
-@query()
+def stored(t: DataFrame) -> DataFrame:
+    """Hypotheses that are read twice, written in the shared folder so that the fold runs once and nothing stays pinned in memory."""
+    return shared_table(t, "nodes")
+
+
+def layers(t: DataFrame) -> DataFrame:
+    return t.select("row", "col", *r4("depth", "unct", "ratio"), "nhyp", "n")
+
+
+@query(FOLD + " SELECT row, col, round(depth, 4) AS depth, round(unct, 4) AS unct, nhyp FROM prior")
 def node_fold_prior(spark, sf):
-    return E.prior_surface(folded(spark, sf)).select("row", "col", "depth", "unct", "nhyp")
+    return E.prior_surface(folded(spark, sf)).select("row", "col", *r4("depth", "unct"), "nhyp")
 
 
-@query()
+@query(FOLD + " SELECT row, col, round(ratio, 4) AS ratio FROM prior")
 def node_fold_ratio(spark, sf):
-    return E.prior_surface(folded(spark, sf)).select("row", "col", "ratio")
+    return E.prior_surface(folded(spark, sf)).select("row", "col", *r4("ratio"))
 
 
 def _guided(spark, sf, how):
-    nodes = folded(spark, sf).persist()
-    return E.guided_surface(nodes, E.guides(nodes, P), how)
+    nodes = stored(folded(spark, sf))
+    return layers(E.guided_surface(nodes, E.guides(nodes, P), how))
 
 
-@query()
+@query(GUIDE + _guided_sql(_CLOSEST))
 def context_surface(spark, sf):
     return _guided(spark, sf, "closest")
 
 
-@query()
+@query(GUIDE + _guided_sql(_POSTERIOR))
 def posterior_surface(spark, sf):
     return _guided(spark, sf, "posterior")
 
 
-@query()
+@query(FOLD + ", mean AS (SELECT row, col, avg(depth) AS z FROM cel WHERE depth < -0.5 GROUP BY ALL), guide AS (SELECT row, col, z AS gz, 1.0 AS gv FROM mean)" + _guided_sql(_CLOSEST))
 def predsurf_surface(spark, sf):
     guide = mean(spark, sf).select("row", "col", F.col("z").alias("gz"), F.lit(1.0).alias("gv"))
-    return E.guided_surface(folded(spark, sf), guide, "closest")
+    return layers(E.guided_surface(folded(spark, sf), guide, "closest"))
 
 
-@query()
+@query(FOLD + " SELECT row, col, num, round(cur, 4) AS cur, round(cv, 6) AS cur_var, round(sv, 4) AS samp_var, n FROM hy")
 def hypothesis_list(spark, sf):
-    return E.hypothesis_list(folded(spark, sf))
+    return E.hypothesis_list(folded(spark, sf)).select("row", "col", "num", *r4("cur"), F.round("cur_var", 6).alias("cur_var"), *r4("samp_var"), "n")
 
 
-@query()
+@query(FOLD + " SELECT row, col, round(depth, 4) AS depth, nhyp, n FROM prior WHERE nhyp > 1")
+def top_hypothesis(spark, sf):
+    return E.prior_surface(folded(spark, sf)).where("nhyp > 1").select("row", "col", *r4("depth"), "nhyp", "n")
+
+
+# of each node the second hypothesis is nominated, then the first one removed if no other is within the tolerance
+@query(FOLD + """, a AS (SELECT h.*, f.cur AS z1, s.cur AS z2 FROM hy h LEFT JOIN hy f ON f.row = h.row AND f.col = h.col AND f.num = 1 LEFT JOIN hy s ON s.row = h.row AND s.col = h.col AND s.num = 2),
+p AS (SELECT *, CASE WHEN z2 IS NULL THEN NULL ELSE first(num) OVER (PARTITION BY row, col ORDER BY coalesce(abs(cur - z2), 0), num) END AS pick, count(CASE WHEN abs(cur - z1) < 0.01 THEN 1 END) OVER (PARTITION BY row, col) AS close FROM a)
+SELECT row, col, num, round(cur, 4) AS cur, num = pick AS nominated FROM p WHERE NOT (close = 1 AND abs(cur - z1) < 0.01)""")
 def hypothesis_edits(spark, sf):
-    h = E.hypothesis_list(folded(spark, sf)).persist()
-    picks = h.where("num = 1").select("row", "col", F.lit("nominate").alias("op"), F.col("cur").alias("depth"), F.lit(1).alias("at"))
-    return E.apply_edits(h, picks.unionByName(h.where("num = 2").select("row", "col", F.lit("remove").alias("op"), F.col("cur").alias("depth"), F.lit(2).alias("at"))))
+    nodes = stored(folded(spark, sf))
+    h = E.hypothesis_list(nodes)
+    edit = lambda num, op, at: h.where(F.col("num") == num).select("row", "col", F.lit(op).alias("op"), F.col("cur").alias("depth"), F.lit(at).alias("at"))
+    t = E.apply_edits(nodes, edit(2, "nominate", 1).unionByName(edit(1, "remove", 2)))
+    return t.select("row", "col", "pick", F.explode("hyps").alias("h")).select("row", "col", "h.num", F.round("h.cur", 4).alias("cur"), (F.col("h.num") == F.col("pick")).alias("nominated"))
+
+
+_GATE = f"""least(z - {P.blunder_min}, z - {P.blunder_pct} * abs(z), z - {P.blunder_scalar} * sqrt(0.25))"""
+
+
+@query(CAND + f""", mean AS (SELECT row, col, avg(depth) AS z FROM cel WHERE depth < -0.5 GROUP BY ALL), m AS (SELECT row, col, CASE WHEN (row + col) % 7 = 0 THEN NULL ELSE z + 8 END AS z, (row + col) % 11 = 0 AS frozen FROM mean),
+g AS (SELECT row, col, depth, z, dist2 FROM cand LEFT JOIN m USING (row, col) WHERE NOT coalesce(frozen AND z IS NOT NULL, false) AND (z IS NULL OR depth >= {_GATE})
+  AND sqrt(dist2) <= greatest({P.capture} * abs(coalesce(z, depth)), 0.5))
+SELECT row, col, count(*) AS n, round(avg(depth), 4) AS z FROM g GROUP BY ALL""")
+def node_gates(spark, sf):
+    place = F.col("row") + F.col("col")
+    z = F.when(place % 7 == 0, None).when(place % 11 == 0, F.lit(float("nan"))).otherwise(F.col("z") + 8)
+    start = mean(spark, sf).select("row", "col", z.alias("z"), F.lit(0.25).alias("var"))
+    t = G.gated(G.at_nodes(candidates(spark, sf), start), P)
+    return t.groupBy("row", "col").agg(F.count("*").alias("n"), F.round(F.avg("depth"), 4).alias("z"))
 
 
 @query(MEAN + ", med AS (SELECT row, col, list_sort(list(depth))[(count(*) // 2 + 1)::INT] AS z FROM cel GROUP BY ALL) SELECT row, col, round(mean.z - med.z, 4) AS z FROM mean JOIN med USING (row, col)")
@@ -278,12 +368,6 @@ def sheet_extent(spark, sf):
     return cells(spark, sf).groupBy("platform").agg(F.min("row").alias("row_min"), F.max("row").alias("row_max"), F.min("col").alias("col_min"), F.max("col").alias("col_max"))
 
 
-@query(WITH + ", n AS (SELECT row, col, platform, count(*) AS n FROM cel GROUP BY ALL) SELECT row, col, platform, n FROM n QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY n DESC, platform) = 1")
-def top_hypothesis(spark, sf):
-    n = cells(spark, sf).groupBy("row", "col", "platform").agg(F.count("*").alias("n"))
-    return n.groupBy("row", "col").agg(F.min_by(F.struct("platform", "n"), F.struct(-F.col("n"), "platform")).alias("t")).select("row", "col", "t.platform", "t.n")
-
-
 _SAMPLE = "s AS (SELECT user_id AS k, ts, value FROM events WHERE event_id % 2 = 0), t AS (SELECT user_id AS k, event_id AS id, ts FROM events WHERE event_id % 2 = 1)"
 
 

@@ -13,7 +13,7 @@ ARRIVAL = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quan
 
 SOUNDINGS_SQL = """
 snd AS (SELECT l_partkey % 40 + l_discount * 10 AS east, (l_suppkey % 10) * 4 + l_tax * 10 AS north, -(l_quantity + 10) AS depth,
-  0.01 + l_tax AS dz, 0.05 + l_discount AS dr, l_shipdate AS ts, l_returnflag AS platform, l_orderkey, l_linenumber FROM lineitem),
+  0.01 + l_tax AS dz, 0.05 + l_discount AS dr, l_shipdate AS ts, l_returnflag AS platform, * EXCLUDE (l_shipdate, l_returnflag) FROM lineitem),
 cel AS (SELECT *, floor((40.0 - north) / 4.0 + 0.5)::INT AS row, floor(east / 1.0 + 0.5)::INT AS col FROM snd)
 """
 

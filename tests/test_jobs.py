@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from seabedflow.functions import projections as M
 from seabedflow.operators import gridding as G
+from seabedflow.operators import estimate as E
 from seabedflow.plans import jobs, registry
 from seabedflow.sources import grids as R
 from seabedflow.sources import views as V
@@ -17,7 +18,7 @@ def test_assimilate(spark, tmp_path):
     wide = spark.createDataFrame([(1, "x_", 0.0, 1000.0, -80.0, 80.0)], GATES)
     got = jobs.assimilate(t, wide, V.SHEET, registry.P, V.ARRIVAL, str(tmp_path / "sheet"))
     names = ["row", "col", "depth", "unct", "nhyp"]
-    want = registry.queries()["node_fold_prior"](spark, SF)
+    want = E.prior_surface(registry.folded(spark, SF))
     assert sorted(map(tuple, got.select(names).collect())) == sorted(map(tuple, want.select(names).collect()))
     jobs.summarise(registry.cells(spark, SF), got.select("row", "col", "depth"), V.SHEET, str(tmp_path / "sum"))
     a = {(r.row, r.col): r.z for r in R.read_grid(spark, str(tmp_path / "sum" / "depth")).collect()}
