@@ -1,76 +1,18 @@
-"""What the text operators share: the shared folder, durable intermediate tables, hashing and components."""
+"""What the text operators share: durable intermediate tables, whole groups of sorted streams, texts and components."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables written by :func:`durable` that are still there, with the session that wrote them.
-_written: dict[str, SparkSession] = {}
-#: Folders of sessions without a shared one.
-_own: dict[str, str] = {}
+from ..plans.store import drop_tables as release
+from ..plans.store import shared_table as durable
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset (a test on one
-    machine) does the session get a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        app = spark.sparkContext.applicationId
-        named = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="seabedflow-"))
-    return named.rstrip("/")
-
-
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    The lineage ends there: a lost executor costs the tasks it ran and nothing before this table.
-    Shuffle files of the jobs before are no longer needed; Spark deletes them once the driver has
-    collected the objects that stand for them, which the collection below brings forward. The scheduler
-    holds the last job until the next one, so a job over one row runs first.
-    """
-    spark = df.sparkSession
-    spark.range(1).write.format("noop").mode("overwrite").save()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    path = f"{shared_dir(spark)}/seabedflow-{uuid.uuid4().hex}-{tag}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _written[path] = spark
-    out._seabedflow_path = path
-    return out
-
-
-def release(*tables: DataFrame | None) -> None:
-    """Delete tables of :func:`durable` that nothing reads any more."""
-    for t in tables:
-        path = getattr(t, "_seabedflow_path", None)
-        spark = _written.pop(path, None)
-        if spark is not None:
-            _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _delete_rest() -> None:
-    for path, spark in list(_written.items()):
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended
-            return
+__all__ = ["components", "durable", "only", "partitions", "release", "text_of", "whole_groups"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -87,6 +29,37 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """A stream sorted by ``keys`` as frames of whole groups: the frame, and where its groups begin and the last one ends.
+
+    A group that goes on in the next batch waits for it, so the largest group bounds the memory.
+    """
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        if held and _starts(pd.concat([held[-1].iloc[-1:], b.iloc[-1:]]), keys) == [0]:
+            held.append(b)  # all of it belongs to the group that waits
+            continue
+        b = pd.concat([*held, b], ignore_index=True)
+        at = _starts(b, keys)
+        if len(at) > 1:
+            yield b.iloc[: at[-1]], at
+        held = [b.iloc[at[-1] :]]
+    if held:
+        b = pd.concat(held, ignore_index=True)
+        yield b, [0, len(b)]
+
+
+def _starts(b: pd.DataFrame, keys: list[str]) -> list[int]:
+    new = np.zeros(len(b), bool)
+    new[:1] = True
+    for k in keys:
+        v = b[k].to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new).tolist()
+
+
 def components(edges: DataFrame, tag: str = "cc", rounds: int = 50) -> DataFrame:
     """Connected components of the undirected edges ``(a, b)``: one row ``(id, component)`` for each end.
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, partitions, release, text_of
+from .common import components, durable, partitions, release, text_of, whole_groups
 from .suffix_dedup import BASE, INVERSE, LAST, _INV, _POW, _powers, _runs, _spread
 
 WORDS, TREES, DEPTH, TILE, TILE_BYTES = 5, 25, 8, 1024, 16 << 20
@@ -139,43 +139,25 @@ def tiles(t: DataFrame) -> DataFrame:
     return t.withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).drop("nb", "o")
 
 
-def grouped(t: DataFrame, keys: list[str], order: list[str], f: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply ``f`` to whole groups, many at a time: rows sorted by ``keys`` and ``order``, and where each group begins (one more at the end).
+def grouped(t: DataFrame, keys: list[str], order: list[str], f: Callable[[pd.DataFrame, list[int]], pd.DataFrame], schema: str) -> DataFrame:
+    """Apply ``f`` to whole groups, many at a time: rows sorted by ``keys`` and ``order``, and where each group begins and the last one ends.
 
-    Groups are bounded by their tiles. Many small ones cost one frame, not one each; a group that goes on in
-    the next batch waits for it.
+    Groups are bounded by their tiles. Many small ones cost one frame, not one each.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for b in batches:
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
-            begin = _begins(b, keys)
-            if len(begin) > 1:
-                yield f(b.iloc[: begin[-1]], begin)
-            held = b.iloc[begin[-1] if len(begin) else 0 :].reset_index(drop=True)
-        if held is not None and len(held):
-            yield f(held, np.array([0, len(held)]))
+        for g, at in whole_groups(batches, keys):
+            yield f(g, at)
 
     t = t.repartition(partitions(t.sparkSession), *keys).sortWithinPartitions(*keys, *order)
     return t.mapInPandas(run, schema)
 
 
-def _begins(b: pd.DataFrame, keys: list[str]) -> np.ndarray:
-    new = np.zeros(len(b), bool)
-    new[:1] = True
-    for k in keys:
-        v = b[k].to_numpy()
-        new[1:] |= v[1:] != v[:-1]
-    return np.flatnonzero(new)
-
-
-def _stars(need: float, depth: int) -> Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]:
-    def stars(g: pd.DataFrame, begin: np.ndarray) -> pd.DataFrame:
+def _stars(need: float, depth: int) -> Callable[[pd.DataFrame, list[int]], pd.DataFrame]:
+    def stars(g: pd.DataFrame, at: list[int]) -> pd.DataFrame:
         s = np.frombuffer(b"".join(g.sig), "u1").reshape(len(g), -1)
         tid, below = g.tid.to_numpy(), g.below.to_numpy()
-        if begin[-1] != len(g):
-            begin = np.append(begin, len(g))
+        begin = np.array(at)
         size = np.diff(begin)
         root = np.repeat(begin[:-1], size)
         # most nodes agree with their first member as a whole
@@ -259,7 +241,7 @@ def _equal(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray,
     return True
 
 
-def _verified(threshold: float) -> Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]:
+def _verified(threshold: float) -> Callable[[pd.DataFrame, list[int]], pd.DataFrame]:
     def one(g: pd.DataFrame) -> pd.DataFrame:
         sets = Sets([normal(t) for t in g.text])
         inter, n = sets.overlap(), sets.size
@@ -269,9 +251,8 @@ def _verified(threshold: float) -> Callable[[pd.DataFrame, np.ndarray], pd.DataF
         np.fill_diagonal(counted, False)
         return pd.DataFrame({"tid": tid, "links": counted @ weight, "root": tid[_labels(link)]})
 
-    def verified(g: pd.DataFrame, begin: np.ndarray) -> pd.DataFrame:
-        ends = begin if begin[-1] == len(g) else np.append(begin, len(g))
-        return pd.concat([one(g.iloc[lo:hi]) for lo, hi in zip(ends, ends[1:], strict=False)])
+    def verified(g: pd.DataFrame, at: list[int]) -> pd.DataFrame:
+        return pd.concat([one(g.iloc[lo:hi]) for lo, hi in zip(at, at[1:], strict=False)])
 
     return verified
 
