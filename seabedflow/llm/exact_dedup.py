@@ -7,7 +7,7 @@ the same number of blocks have the same integer if and only if their texts are e
 
 A block travels once, in the aggregation that finds the distinct blocks. Occurrences carry its 64-bit
 hash; where a hash stands for one block only, which the numbering has seen, the hash leads to the number.
-Occurrences under a hash that stands for several blocks are matched by their bytes. So no hash decides.
+Occurrences under a hash that stands for several blocks carry their bytes too and are matched by them. So no hash decides.
 
 Defined results: a null text is empty; empty texts equal each other; a repeated row is a document of its
 own; a null doc_id is kept and loses to any other; of copies with the same largest doc_id one row stays.
@@ -15,7 +15,9 @@ own; a null doc_id is kept and loses to any other; of copies with the same large
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, only, release, text_of
@@ -32,25 +34,30 @@ def _named(keys: DataFrame, *by: str) -> DataFrame:
     return keys.distinct().sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def exact_identities(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block: int = 4096) -> DataFrame:
+def exact_identities(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block: int = 4096, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per document: ``keep``, ``text_sha256``, ``n_blocks`` and ``name``; equal texts, and only those, agree in the last two.
 
     Numbers are written as a table before occurrences join them, so that Spark can split the join of a number
-    that a third of all documents share.
+    that a third of all documents share. ``keep`` must name none of the columns made here.
     """
     src = docs.select(*[F.col(f"`{k}`") for k in keep], text_of(text).cast("binary").alias("raw"))
+    blocks = src.select(F.explode(_blocks(block)).alias("b")).select(hashed(F.col("b")).alias("h"), "b")
+    names = durable(_named(blocks, "b", "h").select("h", "name"), "blocks")
+    of_hash = durable(names.groupBy("h").agg(F.count("*").alias("n"), F.min("name").alias("name")), "hashes")
+    shared = of_hash.where("n > 1").select("h")
+    several = shared.limit(1).count() > 0
     cut = src.withColumn("rid", F.monotonically_increasing_id()).withColumn("blocks", _blocks(block))
     cut = cut.select("rid", *keep, F.sha2("raw", 256).alias("sha"), F.size("blocks").alias("n_blocks"), F.posexplode("blocks").alias("pos", "b"))
     # the documents' own columns ride with their first block only
     first = F.col("pos") == 0
-    occ = durable(cut.select("rid", "pos", "n_blocks", F.xxhash64("b").alias("h"), *[F.when(first, F.col(k)).alias(k) for k in (*keep, "sha")]), "occurrences")
-    blocks = src.select(F.explode(_blocks(block)).alias("b")).select(F.xxhash64("b").alias("h"), "b")
-    names = durable(_named(blocks, "b", "h").select("h", "name"), "blocks")
-    of_hash = durable(names.groupBy("h").agg(F.count("*").alias("n"), F.min("name").alias("name")), "hashes")
+    occ = cut.select("rid", "pos", "n_blocks", hashed(F.col("b")).alias("h"), *(["b"] if several else []), *[F.when(first, F.col(k)).alias(k) for k in (*keep, "sha")])
+    if several:
+        occ = occ.join(shared.withColumn("clash", F.lit(True)), "h", "left").withColumn("b", F.when(F.col("clash"), F.col("b"))).drop("clash")
+    occ = durable(occ, "occurrences")
     cur = occ.join(of_hash.where("n = 1").select("h", "name"), "h", "left")
-    shared = of_hash.where("n > 1").select("h")
-    if shared.limit(1).count():
-        cur = _by_bytes(cur, src, blocks, shared, block)
+    if several:
+        own = durable(_named(blocks.join(shared, "h", "left_semi"), "b").select("h", "b", (-2 - F.col("name")).alias("own")), "clashes")
+        cur = cur.join(own, ["h", "b"], "left").withColumn("name", F.coalesce("name", "own"))
     cur = durable(cur.select("rid", "pos", "n_blocks", F.col("n_blocks").alias("lvl_n"), "name", *keep, "sha"), "level")
     release(occ, names, of_hash)
     done = None
@@ -71,14 +78,6 @@ def exact_identities(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
         release(pairs, named)
 
 
-def _by_bytes(cur: DataFrame, src: DataFrame, blocks: DataFrame, shared: DataFrame, block: int) -> DataFrame:
-    """Name the occurrences whose hash stands for several blocks by their bytes, with numbers below -1."""
-    own = durable(_named(blocks.join(shared, "h", "left_semi"), "b").select("h", "b", (-2 - F.col("name")).alias("own")), "clashes")
-    again = src.withColumn("rid", F.monotonically_increasing_id()).select("rid", F.posexplode(_blocks(block)).alias("pos", "b"))
-    named = again.withColumn("h", F.xxhash64("b")).join(own, ["h", "b"]).select("rid", "pos", "own")
-    return cur.join(named, ["rid", "pos"], "left").withColumn("name", F.coalesce("name", "own"))
-
-
 def exact_dedup(docs: DataFrame, text: str = "text", block: int = 4096) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; one row per document, dropped ones too."""
     ids = durable(exact_identities(only(docs, "doc_id", text), text, ("doc_id",), block).withColumn("row", F.monotonically_increasing_id()), "identities")
