@@ -11,9 +11,9 @@ Features come from the text alone. Training takes at most ``sample`` labelled do
 smallest by hash, and of each at most ``lines`` consecutive lines from a hashed start; scoring covers
 every line of every document.
 
-Defined results: a null text is empty, and an empty text is one line of length 0, scored like any other; labels of
+Defined results: a null text is empty; a text without any character but spaces has nothing of quality and scores 0; labels of
 unknown documents are ignored; a document labelled twice with different labels teaches nothing; repeated
-rows get the same score; without labels of both classes every score is the prior, 0.5.
+rows get the same score; without labels of both classes every other score is the prior, 0.5.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -229,8 +229,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 2000, lines: i
     return field
 
 
-def quality_scores(docs: DataFrame, field: LineField | None, keep: Sequence[str] = ("doc_id",), chunk: int = 1 << 20) -> DataFrame:
-    """``keep`` and ``score`` of every document; batches are cut into chunks of about ``chunk`` characters, a longer text alone."""
+def quality_score(field: LineField | None, text: Column, chunk: int = 1 << 20) -> Column:
+    """Scores of texts; batches are cut into chunks of about ``chunk`` characters, a longer text alone. Blank texts score 0."""
 
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
@@ -243,21 +243,32 @@ def quality_scores(docs: DataFrame, field: LineField | None, keep: Sequence[str]
                     texts, held = [], 0
             if texts:
                 out.append(field.texts(texts))
-            yield pd.Series(np.concatenate(out) if out else np.zeros(0))
+            got = np.concatenate(out) if out else np.zeros(0)
+            yield pd.Series(np.where(s.str.strip() == "", 0.0, got))
 
-    score = F.lit(0.5) if field is None else F.pandas_udf(scored, "double")(text_of())
-    return docs.select(*[F.col(f"`{k}`") for k in keep], score.alias("score"))
+    return F.when(text.rlike(r"\S"), F.lit(0.5)).otherwise(0.0) if field is None else F.pandas_udf(scored, "double")(text)
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 2000, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def line_labels(docs: DataFrame, field: LineField) -> DataFrame:
+    """One row for each line of each document: doc_id, line (from 0), good (marginal probability) and label (1 if that is 0.5 or more)."""
+
+    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, t in zip(b.doc_id, b.text, strict=True):
+                f, _, per_text = line_features([t])
+                good, _, _ = forward_backward(field.evidence(f, per_text).astype("f8"), field.trans, per_text)
+                yield pd.DataFrame({"doc_id": pd.array([i] * len(good), "Int64"), "line": np.arange(len(good)), "good": good, "label": (good >= 0.5).astype("i4")})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInPandas(labelled, "doc_id long, line long, good double, label int")
+
+
+def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 2000) -> DataFrame:
+    """One row per document: doc_id, score, held_out and predicted."""
     field = fit_quality(docs, labels, sample)
-    t = quality_scores(docs, field, keep)
+    t = docs.select("doc_id", quality_score(field, text_of()).alias("score"))
     return t.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 2000) -> DataFrame:
-    """The documents that are not rejected, with all their columns; a filter, so no row is shuffled."""
-    field = fit_quality(docs, labels, sample)
-    scored = quality_scores(docs.withColumnRenamed("score", "_given") if "score" in docs.columns else docs, field, tuple("_given" if c == "score" else c for c in docs.columns))
-    kept = scored.where(F.col("score") >= threshold).drop("score")
-    return kept.withColumnRenamed("_given", "score") if "_given" in kept.columns else kept
+    """The documents that are not rejected, with all their columns; a filter, so no row is shuffled and no name can clash."""
+    return docs.where(quality_score(fit_quality(docs, labels, sample), text_of()) >= threshold)
