@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import durable, release, text_of
 
 _GAP = re.compile(r"[\W_]+")
 
@@ -142,11 +142,14 @@ def blocks(benchmark: DataFrame, block_chars: int, item: str = "item_id", text:
         yield held
 
 
+_FOUND = "doc_id string, item_id long, matches long, distance long, plain_end long"
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_words: int = 5, block_chars: int = 8_000_000) -> DataFrame:
-    """One row per document and item found in it: doc_id, item_id, matches, distance, plain_end."""
-    out = None
-    spark = docs.sparkSession
-    for rows in blocks(benchmark, block_chars):
+    """One row per document and item found in it: doc_id, item_id, matches, distance, plain_end. Beyond one block, what each block
+    finds is written before the next one is sent, so that one block at a time is in memory."""
+    spark, out = docs.sparkSession, None
+    for rows, last in _ahead(blocks(benchmark, block_chars)):
         sent = spark.sparkContext.broadcast(rows)
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -155,22 +158,40 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05,
                 found = [(i, *hit) for i, t in zip(b.doc_id, b.text, strict=True) for hit in items.find(t)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "matches", "distance", "plain_end"])
 
-        part = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text")).mapInPandas(scan, "doc_id string, item_id long, matches long, distance long, plain_end long")
+        part = docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_of().alias("text")).mapInPandas(scan, _FOUND)
+        if not last:
+            part = durable(part, "matches")
+            sent.destroy()
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = spark.createDataFrame([], "doc_id string, item_id long, matches long, distance long, plain_end long")
+        out = spark.createDataFrame([], _FOUND)
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, min_words: int = 5, block_chars: int = 8_000_000) -> DataFrame:
-    """The documents in which no item is found, with all their columns; a filter, so no row is shuffled."""
-    spark = docs.sparkSession
-    for rows in blocks(benchmark, block_chars):
+    """The documents in which no item is found, with all their columns; a filter, so no row is shuffled. Beyond one block, what is left after
+    each is written before the next one is sent."""
+    spark, before = docs.sparkSession, None
+    for rows, last in _ahead(blocks(benchmark, block_chars)):
         sent = spark.sparkContext.broadcast(rows)
         docs = docs.where(_clean(sent, rate, min_words)(text_of()))
+        if not last:
+            docs = durable(docs, "clean")
+            sent.destroy()
+            release(before)
+            before = docs
     return docs
 
 
+def _ahead(parts: Iterator[list]) -> Iterator[tuple[list, bool]]:
+    """Each part and whether it is the last."""
+    held = next(parts, None)
+    while held is not None:
+        after = next(parts, None)
+        yield held, after is None
+        held = after
+
+
 def _clean(sent: Broadcast, rate: float, min_words: int):
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         items = Items(sent.value, rate, min_words)

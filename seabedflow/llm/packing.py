@@ -9,7 +9,7 @@ input partition: a map without a shuffle, whose memory the window bounds.
 One output row is one packed row: ``ids`` (``row_len`` little-endian integers, two bytes each where the
 vocabulary allows, padded with ``pad``), ``cu_seqlens`` (cumulative segment lengths from 0), ``position_resets``
 (for each segment the position its first token has: 0 where a document begins, the token offset within the document where
-a split one goes on), ``doc_ids``, and ``doc_rows`` (the number of the document within its task, which tells repeated ids apart).
+a split one goes on), ``doc_ids``, and ``doc_rows`` (the document's task and its number there, which tells repeated and null ids apart).
 Each document ends with ``eod``; :func:`positions` expands the resets to a position for each token.
 
 Defined results: a null or empty text is a document of the single token ``eod``; repeated rows are packed each; a
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,7 +162,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, row_le
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = Tokenizer(sent.value)
         end = np.array([tok.eod], tok.dtype).tobytes()
-        held, size, no = [], 0, 0
+        held, size, no = [], 0, TaskContext.get().partitionId() << 40
         for b in batches:
             for doc_id, text in zip(b.doc_id, b.text, strict=True):
                 ids = tok.encode(text) + end
@@ -182,6 +183,12 @@ def positions(cu_seqlens: list[int], position_resets: list[int]) -> np.ndarray:
     return np.concatenate([np.arange(at, at + hi - lo) for lo, hi, at in zip(cu_seqlens, cu_seqlens[1:], position_resets, strict=False)]) if position_resets else np.zeros(0, int)
 
 
+def fill_rate(packed: DataFrame, row_len: int) -> float:
+    """The share of all places that hold tokens."""
+    r = packed.agg(F.sum("n_tokens").alias("used"), F.count("*").alias("rows")).first()
+    return r.used / (r.rows * row_len) if r.rows else 1.0
+
+
 def write_matrices(packed: DataFrame, path: str) -> None:
     """Write packed rows as Parquet: a reader takes ``ids`` of a row group as one matrix without parsing."""
     packed.write.parquet(path)
