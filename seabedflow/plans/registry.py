@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as H
 from ..functions import projections as M
+from ..functions import uncertainty as U
 from ..functions.params import CI95, CI99_GRID, CI99_NODE, Params
 from ..operators import estimate as E
 from ..operators import gridding as G
@@ -465,3 +466,61 @@ def platform_gates(spark, sf):
     spec = spark.createDataFrame([(1, "_A", 15.0, 45.0, -30.0, 30.0), (2, "_N", 0.0, 50.0, -20.0, 60.0), (3, "line", 0.0, 1000.0, -45.0, 45.0)], "rank int, recog string, min_depth double, max_depth double, min_angle double, max_angle double")
     t = V.soundings(spark, sf).withColumns({"file": F.concat(F.lit("line_"), F.col("platform")), "across": F.col("east") - 20})
     return J.gated_soundings(t, spec).groupBy("platform").agg(F.count("*").alias("n"))
+
+
+_PING = "p AS (SELECT l_orderkey, l_linenumber, (l_partkey % 41)::INT AS beam, 10 + l_quantity AS depth, (10 + l_quantity) * 1.2 AS range, (l_suppkey % 2 + 2 * l_linenumber)::INT AS flags, l_discount * 50 - 2 AS roll, l_tax * 40 - 1 AS pitch, l_discount - 0.05 AS heave, 1500 + l_linenumber AS surf, 1490 + l_linenumber AS speed, l_tax * 100 AS way FROM lineitem)"
+
+
+def pings(spark, sf):
+    c = F.col
+    return spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", (c("l_partkey") % 41).cast("int").alias("beam"), (10 + c("l_quantity")).alias("depth"), ((10 + c("l_quantity")) * 1.2).alias("range"),
+        (c("l_suppkey") % 2 + 2 * c("l_linenumber")).cast("int").alias("flags"), (c("l_discount") * 50 - 2).alias("roll"), (c("l_tax") * 40 - 1).alias("pitch"), (c("l_discount") - 0.05).alias("heave"),
+        (1500 + c("l_linenumber")).cast("double").alias("surf_sspeed"), (1490 + c("l_linenumber")).cast("double").alias("mean_speed"), (c("l_tax") * 100).alias("vessel_speed"),
+    )
+
+
+_SHIP = U.Vessel(imu=(-0.242, 0.004, 0.464), gps=(0.219, -0.117, 4.503), gps_latency=0.25, draft=0.7, static_roll=1.5)
+_EVEN, _AXIS = "(beam - 50) * 1.5", "(radians((beam - 50) * 1.5 - 1.5))"
+_RAD2 = "pow(radians(1.0), 2)"
+_TRIG = f"{_PING}, t AS (SELECT *, cos(radians(pitch)) AS cp, sin(radians(pitch)) AS sp, cos(radians(roll)) AS cr, sin(radians(roll)) AS sr, {_AXIS} AS a, flags % 2 = 0 AS amp, greatest(flags // 2, 1) AS win FROM p)"
+# a SeaBat 8101: 101 beams over 150 degrees, steered beyond 60 degrees, 1.5 degree beams
+_ANG = f"""{_TRIG}, g AS (SELECT *, pow(CASE WHEN amp THEN radians(1.5) / 12 ELSE 0.2 * radians(1.5) / sqrt(win) END, 2) + pow(tan(a) * 0.52, 2) / (4 * speed * speed) + 0.005 * {_RAD2}
+  + pow(tan(CASE WHEN a < -radians(61.5) THEN a + radians(61.5) WHEN a > radians(58.5) THEN a - radians(58.5) ELSE 0 END) * 0.5 / surf, 2) AS av, pow(0.025, 2) + pow(speed * 0.000004 / 4, 2) AS rv FROM t)"""
+
+
+@query(f"WITH {_PING} SELECT l_orderkey, l_linenumber, round((beam - 67) * 150.0 / 134, 6) AS em300, round(degrees(asin(3.0637 * (beam - 64) * surf / 300000.0)), 6) AS em3000, round(-55 + 0.9524 * beam, 6) AS em3000d, round(37.25 + 1.25 * (beam - 62), 6) AS en1180, round((beam - 20) * 120.0 / 39, 6) AS sb9003 FROM p")
+def beam_angles(spark, sf):
+    return pings(spark, sf).select("l_orderkey", "l_linenumber", *[F.round(U.beam_angle(U.DEVICES[d], F.col("beam"), F.col("surf_sspeed")), 6).alias(d) for d in ("em300", "em3000", "em3000d", "en1180", "sb9003")])
+
+
+@query(f"""WITH {_TRIG} SELECT l_orderkey, l_linenumber, round(1e9 * pow(CASE WHEN amp THEN 0.5 * tan(radians(1.0)) ELSE tan(0.5 * radians(1.0) / sqrt(win)) END, 2), 4) AS em300,
+  round(1e9 * pow(CASE WHEN amp THEN radians(2.0) / cos(a) / 12 ELSE 0.2 * radians(2.0) / cos(a) / sqrt(win) END, 2), 4) AS em120, round(1e9 * pow(CASE WHEN amp THEN radians(3.3) / 12 ELSE 0.2 * radians(3.3) / sqrt(win) END, 2), 4) AS em1000, round(1e9 * pow(radians(2.3) / 12, 2), 4) AS hsweepds FROM t""")
+def angle_variances(spark, sf):
+    a = F.radians((F.col("beam") - 50) * 1.5 - 1.5)
+    return pings(spark, sf).select("l_orderkey", "l_linenumber", *[F.round(1e9 * U.angle_variance(U.DEVICES[d], a, *U.detection(F.col("flags"))), 4).alias(d) for d in ("em300", "em120", "em1000", "hsweepds")])
+
+
+@query(f"WITH {_PING} SELECT l_orderkey, l_linenumber, round(pow(greatest(0.003 * depth, 0.15), 2), 8) AS em300, round(pow(greatest(0.005 * depth, 0.15), 2), 8) AS sb2112, round(pow(0.025, 2) + pow(speed * 0.000033333 / 4, 2), 8) AS em3000, round(pow(0.03, 2) + pow(speed * 0.00015 / 4, 2), 8) AS en1180 FROM p")
+def range_variances(spark, sf):
+    return pings(spark, sf).select("l_orderkey", "l_linenumber", *[F.round(U.range_variance(U.DEVICES[d], F.col("depth"), F.col("mean_speed")), 8).alias(d) for d in ("em300", "sb2112", "em3000", "en1180")])
+
+
+@query(f"""WITH {_ANG}, h AS (SELECT *, greatest(pow(0.1 * heave, 2), 0.0025) + 0.005 * {_RAD2} * pow(-0.242 * cp - 0.004 * sr * sp - 0.464 * cr * sp, 2) + 0.005 * {_RAD2} * pow(0.004 * cr * cp - 0.464 * sr * cp, 2)
+  + 2 * 0.000025 * (sp * sp + pow(sr * cp, 2) + pow(1 - cr * cp, 2)) AS hv, (rv + pow(range * 0.52 / speed, 2)) * pow(cp * cos(radians(roll) + a), 2) + av * pow(range * sin(radians(roll) + a) * cp, 2)
+  + 0.005 * {_RAD2} * pow(range * cos(radians(roll) + a) * sp, 2) + pow((1 - cos(radians(0.75))) * depth, 2) AS dv FROM g)
+SELECT l_orderkey, l_linenumber, round(1e6 * av, 6) AS angle_var, round(hv, 8) AS heave_var, round(dv, 6) AS depth_var, round(0.0017 + hv + dv, 6) AS dz FROM h""")
+def swath_vertical(spark, sf):
+    s = U.Swath("sb8101", _SHIP)
+    return pings(spark, sf).select("l_orderkey", "l_linenumber", F.round(1e6 * s.angle_var(), 6).alias("angle_var"), F.round(s.heave_var(), 8).alias("heave_var"), F.round(s.depth_var(), 6).alias("depth_var"), F.round(s.vertical_var(), 6).alias("dz"))
+
+
+@query(f"""WITH {_ANG}, h AS (SELECT *, 0.00005 * (cp * cp + cr * cr + pow(sr * sp, 2) + sr * sr + pow(cr * sp, 2)) + 0.25 * {_RAD2} * (pow(0.219 * cp, 2) + pow(0.117 * cr, 2) + pow(0.117 * sr * sp, 2) + pow(4.503 * sp * cr, 2) + pow(4.503 * sr, 2)
+  + 0.219 * 0.117 * cp * sp * sr - 0.219 * 4.503 * cp * sp * cr + 0.117 * 4.503 * cp * cp * sr * cr) + 0.0025 * {_RAD2} * (pow(0.117, 2) * (sr * sr + pow(cr * sp, 2)) + pow(4.503, 2) * (cr * cr + pow(sr * sp, 2)) - 0.117 * 4.503 * cr * sr * cp * cp)
+  + 0.0025 * {_RAD2} * pow(0.219 * sp - 0.117 * sr * cp + 4.503 * cr * cp, 2) AS tv,
+  pow(0.25 * 0.2 * cp, 2) + pow(way * cp, 2) * (0.0009 + 0.000025 + 0.000025) + pow(way * 0.25 * cp, 2) * 0.25 * {_RAD2} + pow(way * 0.25 * sp, 2) * 0.005 * {_RAD2} AS lv,
+  (pow(0.52 * depth / (speed * cos(a)), 2) + rv) * (1 - pow(cp * cos(a), 2)) + 0.26 * {_RAD2} * depth * depth * (sp * sp + pow(tan(a), 2)) + av * range * range * (1 - pow(cp * sin(a), 2)) + pow(depth * cp, 2) * 0.005 * {_RAD2} AS bv FROM g)
+SELECT l_orderkey, l_linenumber, round(tv, 8) AS relative_var, round(lv, 8) AS latency_var, round(bv, 6) AS beam_var, round(4 + tv + lv + bv, 6) AS dr FROM h""")
+def swath_horizontal(spark, sf):
+    s = U.Swath("sb8101", _SHIP)
+    return pings(spark, sf).select("l_orderkey", "l_linenumber", F.round(s.relative_var(), 8).alias("relative_var"), F.round(s.latency_var(), 8).alias("latency_var"), F.round(s.beam_var(), 6).alias("beam_var"), F.round(s.horizontal_var(), 6).alias("dr"))
