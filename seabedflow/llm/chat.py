@@ -1,8 +1,8 @@
 """Chat formatting with minimum-cost role repair.
 
 A legal conversation is an optional system turn followed by user and assistant turns in turn, ending with an
-assistant turn. Dynamic programming over this automaton (state: the role of the last emitted turn) finds the
-cheapest way to make a conversation legal: keep a turn, merge it into the turn before, relabel it, or insert an
+assistant turn; between an assistant turn and the next one a tool turn may stand in place of the user's. Dynamic programming over this
+automaton (state: the role of the last emitted turn) finds the cheapest way to make a conversation legal: keep a turn, merge it into the turn before, relabel it, or insert an
 empty turn before it. Costs: merge 2 into the same role, relabel 3 (an unknown role 1), insert 4; a merge
 across roles costs both. Ties go to the option first in the order keep, merge, relabel, insert, then to the
 lower state.
@@ -23,21 +23,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, partitions
+from .common import durable, partitions, whole_groups
 
-ROLES = ("start", "system", "user", "assistant")
-ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "ai": "assistant", "model": "assistant", "developer": "system"}
-SYSTEM, USER, ASSISTANT, UNKNOWN = 1, 2, 3, 4
+ROLES = ("start", "system", "user", "assistant", "tool")
+ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "ai": "assistant", "model": "assistant", "developer": "system", "function": "tool", "observation": "tool"}
+SYSTEM, USER, ASSISTANT, TOOL, UNKNOWN = 1, 2, 3, 4, 5
+STATES = range(len(ROLES))
 MERGE, RELABEL, RELABEL_UNKNOWN, INSERT = 2, 3, 1, 4
 #: What may follow each state.
-NEXT = {0: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
+NEXT = {0: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER, TOOL), TOOL: (ASSISTANT,)}
 #: Empty turns that end a conversation from each state.
-CLOSING = {0: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
+CLOSING = {0: (), SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: (), TOOL: (ASSISTANT,)}
 BIG = 1 << 60
 
 
@@ -45,7 +45,7 @@ def _moves(role: int) -> dict[tuple[int, int], tuple[int, int, int, int]]:
     """(from, to) -> the best (cost, rank, inserted role or 0, 1 if merged) for a turn of this role."""
     change = lambda to: 0 if to == role else RELABEL_UNKNOWN if role == UNKNOWN else RELABEL
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    for s in range(4):
+    for s in STATES:
         found = []
         for to in NEXT[s]:
             found.append((s, to, change(to), 0 if to == role else 2, 0, 0))
@@ -57,26 +57,26 @@ def _moves(role: int) -> dict[tuple[int, int], tuple[int, int, int, int]]:
     return best
 
 
-MOVES = {r: _moves(r) for r in (SYSTEM, USER, ASSISTANT, UNKNOWN)}
+MOVES = {r: _moves(r) for r in (SYSTEM, USER, ASSISTANT, TOOL, UNKNOWN)}
 #: For each role and target state, the sources in order.
-INTO = {r: [[(s, *m[s, t]) for s in range(4) if (s, t) in m] for t in range(4)] for r, m in MOVES.items()}
+INTO = {r: [[(s, *m[s, t]) for s in STATES if (s, t) in m] for t in STATES] for r, m in MOVES.items()}
 
 
 def compose(roles: list[int], entry: list[int]) -> list[int]:
-    """Costs of the four states after the turns, from the costs before them."""
+    """Costs of the states after the turns, from the costs before them."""
     cost = entry
     for r in roles:
-        cost = [min((cost[s] + c for s, c, *_ in INTO[r][t]), default=BIG) for t in range(4)]
+        cost = [min((cost[s] + c for s, c, *_ in INTO[r][t]), default=BIG) for t in STATES]
     return cost
 
 
 def repair(roles: list[int], entry: int, leave: int) -> list[tuple[int, int, int]]:
     """The cheapest path between two states: for each turn (state after it, role inserted before it or 0, merged)."""
-    cost, back = [BIG] * 4, []
+    cost, back = [BIG] * len(STATES), []
     cost[entry] = 0
     for r in roles:
-        nxt, came = [BIG] * 4, [None] * 4
-        for t in range(4):
+        nxt, came = [BIG] * len(STATES), [None] * len(STATES)
+        for t in STATES:
             for s, c, rank, ins, merged in INTO[r][t]:
                 if cost[s] + c < nxt[t] or (cost[s] + c == nxt[t] < BIG and (rank, s) < came[t][:2]):
                     nxt[t], came[t] = cost[s] + c, (rank, s, ins, merged)
@@ -113,76 +113,65 @@ def render(texts: list[str], steps: list[tuple[int, int, int]], first: bool, las
     return "".join(out)
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal keys of a sorted stream; a run is at most one chunk."""
-    held: list[pd.DataFrame] = []
-    for b in batches:
-        if not len(b):
-            continue
-        k = b[keys]
-        cuts = np.flatnonzero((k.iloc[1:].to_numpy() != k.iloc[:-1].to_numpy()).any(1)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(b)], strict=True):
-            part = b.iloc[lo:hi]
-            if held and tuple(held[0][keys].iloc[0]) != tuple(part[keys].iloc[0]):
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
-
-
 def format_chats(turns: DataFrame, chunk: int = 4096) -> DataFrame:
     """One row per conversation and part: conv_id, part, n_turns, n_merged, n_relabelled, n_inserted, cost, text."""
     spark = turns.sparkSession
     role = F.lower(F.trim(F.coalesce(F.col("role"), F.lit(""))))
     known = F.create_map(*[F.lit(x) for a, r in {**{r: r for r in ROLES[1:]}, **ALIASES}.items() for x in (a, ROLES.index(r))])
-    t = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("k"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("said"), F.coalesce("text", F.lit("")).alias("text"))
+    t = turns.select(F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit("null")).alias("k"), F.col("turn").cast("long").alias("turn"), role.alias("said"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("role", F.coalesce(F.element_at(known, F.col("said")), F.lit(UNKNOWN)))
     # a long conversation is cut by the range partitioner; equal rows may stand in any order
     order = ["k", "turn", "said", "text"]
     t = t.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
     t = t.withColumn("ord", F.monotonically_increasing_id()).withColumn("chunk", F.floor(F.col("ord") / chunk).cast("long"))
-    t = durable(t.select("k", "conv_id", "ord", "chunk", "role", "text"), "turns")
+    t = durable(t.select("k", "ord", "chunk", "role", "text"), "turns")
     spans = durable(t.groupBy("k").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")), "spans")
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["k", "chunk"]):
+        for g, at in whole_groups(batches, ["k", "chunk"]):
             roles = g.role.tolist()
-            rows = [compose(roles, [0 if i == s else BIG for i in range(4)]) for s in range(4)]
-            yield pd.DataFrame({"k": [g.k.iloc[0]], "chunk": [g.chunk.iloc[0]], "m": [[min(v, BIG) for r in rows for v in r]]})
+            m = [[min(v, BIG) for s in STATES for v in compose(roles[lo:hi], [0 if i == s else BIG for i in STATES])] for lo, hi in zip(at, at[1:], strict=False)]
+            yield pd.DataFrame({"k": g.k.to_numpy()[at[:-1]], "chunk": g.chunk.to_numpy()[at[:-1]], "m": m})
 
     def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["k"]):
-            cost, back = [0, BIG, BIG, BIG], []
-            for m in g.m:
-                step = [min((cost[s] + m[4 * s + e], s) for s in range(4)) for e in range(4)]
-                cost = [min(c, BIG) for c, _ in step]
-                back.append([s for _, s in step])
-            leave = min(range(4), key=lambda s: (cost[s] + closing_cost(s), s))
-            ends = [leave]
-            for b in reversed(back):
-                ends.append(b[ends[-1]])
-            ends.reverse()
-            yield pd.DataFrame({"k": g.k.to_numpy(), "chunk": g.chunk.to_numpy(), "entry": ends[:-1], "leave": ends[1:]})
+        for g, at in whole_groups(batches, ["k"]):
+            ms, entry, leave = g.m.tolist(), [], []
+            for lo, hi in zip(at, at[1:], strict=False):
+                cost, back = [0 if s == 0 else BIG for s in STATES], []
+                for m in ms[lo:hi]:
+                    step = [min((cost[s] + m[len(STATES) * s + e], s) for s in STATES) for e in STATES]
+                    cost = [min(c, BIG) for c, _ in step]
+                    back.append([s for _, s in step])
+                ends = [min(STATES, key=lambda s: (cost[s] + closing_cost(s), s))]
+                for b in reversed(back):
+                    ends.append(b[ends[-1]])
+                ends.reverse()
+                entry += ends[:-1]
+                leave += ends[1:]
+            yield pd.DataFrame({"k": g.k.to_numpy(), "chunk": g.chunk.to_numpy(), "entry": entry, "leave": leave})
 
     def rendered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["k", "chunk"]):
-            roles, chunk_no, lo, hi = g.role.tolist(), int(g.chunk.iloc[0]), int(g.lo.iloc[0]), int(g.hi.iloc[0])
-            first, last = chunk_no == lo, chunk_no == hi
-            entry, leave = g.entry.iloc[0], g.leave.iloc[0]
-            if lo == hi:
-                cost = compose(roles, [0, BIG, BIG, BIG])
-                entry, leave = 0, min(range(4), key=lambda s: (cost[s] + closing_cost(s), s))
-            entry, leave = int(entry), int(leave)
-            steps = repair(roles, entry, leave)
-            end = CLOSING[leave] if last else ()
-            cost = compose(roles, [0 if s == entry else BIG for s in range(4)])[leave] + INSERT * len(end)
-            merged = sum(m for _, _, m in steps)
-            yield pd.DataFrame({
-                "conv_id": g.conv_id.iloc[:1].to_numpy(), "part": [chunk_no - lo], "n_turns": [len(roles)], "n_merged": [merged],
-                "n_relabelled": [sum(s != r for (s, _, _), r in zip(steps, roles, strict=True))], "n_inserted": [sum(i > 0 for _, i, _ in steps) + len(end)],
-                "cost": [cost], "text": [render(g.text.tolist(), steps, first, last)],
-            })
+        for g, at in whole_groups(batches, ["k", "chunk"]):
+            all_roles, all_texts = g.role.tolist(), g.text.tolist()
+            cols = [g[c].to_numpy()[at[:-1]].tolist() for c in ("chunk", "lo", "hi", "entry", "leave")]
+            out = []
+            for a, b, chunk_no, lo, hi, entry, leave in zip(at, at[1:], *cols, strict=False):
+                roles = all_roles[a:b]
+                if lo == hi:
+                    costs = compose(roles, [0 if s == 0 else BIG for s in STATES])
+                    entry, leave = 0, min(STATES, key=lambda s: (costs[s] + closing_cost(s), s))
+                    cost = costs[leave]
+                else:
+                    entry, leave = int(entry), int(leave)
+                    cost = compose(roles, [0 if s == entry else BIG for s in STATES])[leave]
+                steps = repair(roles, entry, leave)
+                end = CLOSING[leave] if chunk_no == hi else ()
+                text = render(all_texts[a:b], steps, chunk_no == lo, chunk_no == hi)
+                changed = sum(s != r for (s, _, _), r in zip(steps, roles, strict=True))
+                out.append((chunk_no - lo, b - a, sum(m for _, _, m in steps), changed, sum(i > 0 for _, i, _ in steps) + len(end), cost + INSERT * len(end), text))
+            rows = pd.DataFrame(out, columns=["part", "n_turns", "n_merged", "n_relabelled", "n_inserted", "cost", "text"])
+            rows.insert(0, "conv_id", pd.array([None if k == "null" else int(k) for k in g.k.to_numpy()[at[:-1]]], "Int64"))
+            yield rows
 
     n = partitions(spark)
     long_ones = t.select("k", "chunk", "ord", "role").join(spans.where("lo < hi").select("k"), "k", "left_semi")
