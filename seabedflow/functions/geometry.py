@@ -76,12 +76,12 @@ def prior_variance(z: Column, value: float, percent: bool) -> Column:
 
 def interpolation_variance(z: Sequence[Column], v: Sequence[Column], u: Column, w: Column, var_h: Column, sx: float, sy: float) -> Column:
     """Variance of a depth interpolated between NW, NE, SW and SE nodes, at fractions ``u`` east of the west and ``w`` north of
-    the south nodes. The western slope is taken from the SE node, as surfaces made so far have it."""
+    the south nodes: that of the nodes by their weights, and the horizontal variance through the slopes along and across."""
     nw, ne, sw, se = z
     weights = ((1 - u) * w, u * w, (1 - u) * (1 - w), u * (1 - w))
     own = sum((k * k * x for k, x in zip(weights, v, strict=True)), F.lit(0.0))
     east = (ne - nw) * w + (se - sw) * (1 - w)
-    north = (ne - se) * u + (nw - se) * (1 - u)
+    north = (ne - se) * u + (nw - sw) * (1 - u)
     return own + var_h * (east * east / sx**2 + north * north / sy**2)
 
 

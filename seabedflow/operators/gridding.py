@@ -27,10 +27,13 @@ def mean_surface(cells: DataFrame) -> DataFrame:
 
 
 def median_surface(cells: DataFrame) -> DataFrame:
-    """Upper median: the value at place n div 2 of the ascending order. Ranked by a window, which spills; no list is gathered."""
+    """Upper median: the value at place n div 2 of the ascending order, nulls left out. Equal depths of a cell are counted before the shuffle, so that the
+    running count sorts different depths only."""
+    counts = cells.where("depth is not null").groupBy(*CELL, "depth").agg(F.count("*").alias("k"))
     w = Window.partitionBy(*CELL)
-    ranked = cells.select(*CELL, "depth", F.row_number().over(w.orderBy("depth")).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select(*CELL, F.col("depth").alias("z"))
+    ranked = counts.select(*CELL, "depth", "k", F.sum("k").over(w.orderBy("depth")).alias("upto"), F.sum("k").over(w).alias("n"))
+    place = F.floor(F.col("n") / 2) + 1
+    return ranked.where((F.col("upto") >= place) & (F.col("upto") - F.col("k") < place)).select(*CELL, F.col("depth").alias("z"))
 
 
 def sdev_surface(cells: DataFrame) -> DataFrame:
@@ -145,10 +148,23 @@ def node_estimate_ivw(t: DataFrame) -> DataFrame:
     return t.groupBy(*CELL).agg((F.sum(F.col("depth") * w) / F.sum(w)).alias("depth"), (1 / F.sum(w)).alias("var"), F.count("*").alias("n")).withColumn("unct", CI95 * F.sqrt("var"))
 
 
+#: A platform list describes the devices of one survey; longer ones are refused, since every file is held against all of it.
+MAX_PLATFORMS = 10_000
+
+
 def platform_match(files: DataFrame, platforms: DataFrame) -> DataFrame:
-    """First platform (by rank) whose recognition string is part of the file name. ``platforms`` is a configuration of a few rows."""
-    t = files.join(platforms, F.instr(F.col("name"), F.col("recog")) > 0, "left")
-    return t.groupBy("name").agg(F.min(F.struct("rank", "recog")).alias("p")).select("name", F.col("p.recog").alias("recog"))
+    """First platform (by rank) whose recognition string is part of the file name, null if there is none; one row per different name.
+
+    ``platforms`` (rank, recog) is a configuration of a checked size and becomes part of the expression, so files are matched without a join.
+    """
+    rows = platforms.select("rank", "recog").orderBy("rank", "recog").limit(MAX_PLATFORMS + 1).collect()
+    if len(rows) > MAX_PLATFORMS:
+        raise ValueError(f"more than {MAX_PLATFORMS} platforms")
+    names = files.select("name").distinct()
+    if not rows:
+        return names.withColumn("recog", F.lit(None).cast("string"))
+    known = F.array(*[F.lit(r.recog) for r in rows])
+    return names.select("name", F.get(F.filter(known, lambda r: F.contains(F.col("name"), r)), F.lit(0)).alias("recog"))
 
 
 def corners(surface: DataFrame, *values: str) -> DataFrame:

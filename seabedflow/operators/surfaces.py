@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.params import SheetSpec
+from .graph import components
+
 CELL = ("row", "col")
 
 
@@ -46,12 +49,77 @@ def spike_angle(t: DataFrame, half: int, dx: float) -> DataFrame:
     return around(t, half).where("z is not null").select(*CELL, slope(dx).alias("angle"))
 
 
-def despike(t: DataFrame, half: int, dx: float, max_angle: float, deep_only: bool = False) -> DataFrame:
-    """Cells steeper than ``max_angle`` against their neighbours become null."""
+def despike(t: DataFrame, half: int, dx: float, max_angle: float, sheet: SheetSpec, deep_only: bool = False) -> DataFrame:
+    """Cells steeper than ``max_angle`` (radians) against their neighbours become null, as do isolated cells and those within ``half`` cells of the sheet's border."""
     a = around(t, half).where("z is not null")
     steep = F.abs(F.col("z") - F.col("m")) / dx > math.tan(max_angle)
     steep = steep & (F.col("z") < F.col("m")) if deep_only else steep
-    return a.select(*CELL, F.when(F.coalesce(steep, F.lit(False)), F.lit(None)).otherwise(F.col("z")).alias("z"))
+    inner = F.col("row").between(half, sheet.rows - 1 - half) & F.col("col").between(half, sheet.cols - 1 - half)
+    return a.select(*CELL, F.when(inner & (F.col("n") > 0) & ~steep, F.col("z")).alias("z"))
+
+
+def clip(t: DataFrame, limit: float, flip: bool = False) -> DataFrame:
+    """Values above ``limit`` become null; with ``flip`` those below."""
+    z = F.col("z")
+    return t.select(*CELL, F.when(z >= limit if flip else z <= limit, z).alias("z"))
+
+
+def threshold(t: DataFrame, limit: float, flip: bool = False) -> DataFrame:
+    """Mask ``v``: 1 above ``limit`` and 0 elsewhere; with ``flip`` the other way round. Null counts as not above."""
+    above = F.coalesce(F.col("z") > limit, F.lit(False))
+    return t.select(*CELL, (~above if flip else above).cast("int").alias("v"))
+
+
+def mask_edges(t: DataFrame, spacing: float, width: float) -> DataFrame:
+    """Null where opening the mask of cells below zero by a disc about ``width`` metres wide leaves nothing: thin edges and specks."""
+    size = int((width + 0.5) / spacing) | 1
+    mask = dilate(erode(threshold(t, 0.0, flip=True), size), size)
+    return t.join(mask, list(CELL)).select(*CELL, F.when(F.col("v") == 1, F.col("z")).alias("z"))
+
+
+def magnitude(t: DataFrame) -> DataFrame:
+    return t.select(*CELL, F.abs("z").alias("z"))
+
+
+def check_geometry(a: SheetSpec, b: SheetSpec) -> None:
+    """Raise unless two surfaces lie on the same nodes."""
+    if a != b:
+        raise ValueError(f"surfaces are not compatible: {a} and {b}")
+
+
+def remap_unsigned(t: DataFrame, value: str = "v") -> tuple[DataFrame, int, float, int]:
+    """Whole numbers as the smallest unsigned type that holds them: the table with ``value`` remapped, bits (8 or 16), scale and shift (new = scale * (old - shift)).
+
+    Shifted only if the plain values do not fit, scaled only if the shifted ones do not either. One aggregation finds the range.
+    """
+    r = t.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    lo, hi = r.lo or 0, r.hi or 0
+    if hi < 65535:
+        bits, scale, shift = (8 if hi < 255 else 16), 1.0, 0
+    elif hi - lo < 65535:
+        bits, scale, shift = (8 if hi - lo < 255 else 16), 1.0, lo
+    else:
+        bits, scale, shift = 16, 65535.0 / (hi - lo), lo
+    return t.withColumn(value, F.floor(scale * (F.col(value) - shift)).cast("int")), bits, scale, shift
+
+
+def rgb(hue: Column, saturation: Column, value: Column) -> Column:
+    """Struct (r, g, b) of 0 to 255 for a hue in degrees; greys without saturation."""
+    h = F.pmod(hue, F.lit(360.0)) / 60
+    i, f = F.floor(h), h - F.floor(h)
+    p, q, u = value * (1 - saturation), value * (1 - saturation * f), value * (1 - saturation * (1 - f))
+    wheel = {"r": (value, q, p, p, u, value), "g": (u, value, value, q, p, p), "b": (p, p, u, value, value, q)}
+
+    def byte(parts: Sequence[Column]) -> Column:
+        return F.greatest(F.lit(0), F.floor(F.element_at(F.array(*parts), (i + 1).cast("int")) * 255.999)).cast("int")
+
+    return F.struct(*[byte(parts).alias(k) for k, parts in wheel.items()])
+
+
+def colour_table(lo: float, hi: float, entries: int) -> list[tuple[float, float]]:
+    """(depth, hue) of each entry: violet for the least depth to red for the greatest."""
+    steps = max(1, entries - 1)
+    return [(lo + (hi - lo) * k / steps, 300.0 - 300.0 * k / steps) for k in range(entries)]
 
 
 def patch_surface(t: DataFrame, half: int) -> DataFrame:
@@ -100,9 +168,20 @@ def percent_of_depth(diff: DataFrame, depth: DataFrame) -> DataFrame:
 
 
 def histogram(t: DataFrame, width: float) -> DataFrame:
-    """Fixed-width histogram as a density. The total is summed over one row for each bin."""
-    h = t.groupBy(F.floor(F.col("z") / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    return h.withColumn("pmf", F.col("n") / (F.sum("n").over(Window.partitionBy()) * width))
+    """Density over bins from the least value on: slot, ordinate (its middle), n and pmf.
+
+    There are (max - min) / width whole slots, or 65,536 if ``width`` is not positive, and they are widened to fill the range; the greatest value lies beyond
+    the last slot and is not counted. Empty slots are listed. One row for each slot is summed, so the window holds no cells.
+    """
+    z = F.col("z")
+    span = t.agg(F.min("z").alias("lo"), F.max("z").alias("hi"))
+    slots = F.floor((F.col("hi") - F.col("lo")) / width).cast("long") if width > 0 else F.lit(1 << 16).cast("long")
+    span = span.where("hi > lo").withColumn("slots", slots).where("slots > 0").withColumn("scale", F.col("slots") / (F.col("hi") - F.col("lo")))
+    counted = t.where(z.isNotNull()).join(F.broadcast(span)).select(F.floor(F.col("scale") * (z - F.col("lo"))).alias("slot"), "slots").where("slot < slots").groupBy("slot").agg(F.count("*").alias("n"))
+    every = span.select("lo", "scale", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"))
+    h = every.join(counted, "slot", "left").select("slot", ((F.col("slot") + 0.5) / F.col("scale") + F.col("lo")).alias("ordinate"), F.coalesce("n", F.lit(0)).alias("n"), "scale")
+    total = F.sum("n").over(Window.partitionBy())
+    return h.select("slot", "ordinate", "n", (F.col("n") * F.col("scale") / F.when(total > 0, total)).alias("pmf"))
 
 
 def bilinear(t: DataFrame, factor: int) -> DataFrame:
@@ -115,9 +194,31 @@ def bilinear(t: DataFrame, factor: int) -> DataFrame:
     return s.select((F.col("row") * factor + F.col("i")).alias("row"), (F.col("col") * factor + F.col("j")).alias("col"), z.alias("z"))
 
 
-def coverage(t: DataFrame, half: int) -> DataFrame:
-    """Spread each cell's shoalest value over the square around it; the shoalest that arrives stays."""
-    return spread(t, square(half), "z").groupBy(*CELL).agg(F.max("z").alias("z"))
+def capture_radii(depth: DataFrame, sheet: SheetSpec, limit: int = 10) -> DataFrame:
+    """``reach`` of every cell of the sheet: 2.5 m and 2.5 % of its depth, or of the nearest shoalest depth less than ``limit`` rings away; 0 where there is none or it is above water."""
+    spark = depth.sparkSession
+    every = spark.range(sheet.rows * sheet.cols).select((F.col("id") / sheet.cols).cast("int").alias("row"), (F.col("id") % sheet.cols).cast("int").alias("col"))
+    known = depth.where("z is not null").select(*CELL, "z")
+    holes = every.join(known, list(CELL), "left_anti")
+    z = known.unionByName(nearest_shoal(known, holes, limit - 1))
+    t = every.join(z, list(CELL), "left")
+    return t.select(*CELL, F.when(F.col("z") < 0, 2.5 - 0.025 * F.col("z")).otherwise(0.0).alias("reach"))
+
+
+def coverage(soundings: DataFrame, depth: DataFrame, sheet: SheetSpec, limit: int = 10) -> DataFrame:
+    """The shoalest of the soundings (east, north, depth) that lie within each cell's capture radius; cells without one are left out.
+
+    A sounding goes to the cells its depth can reach, is held against their radii there, and partial maxima travel.
+    """
+    reach = 5 * F.ceil((2.5 - 0.025 * F.col("depth")) / 5 + 1)
+    t = soundings.select("east", "north", "depth", *[c.alias(n) for c, n in zip(sheet.cell(F.col("east"), F.col("north")), ("r", "c"), strict=True)])
+    t = t.where(F.col("r").between(0, sheet.rows) & F.col("c").between(0, sheet.cols))
+    around = lambda at, step, n: F.sequence(F.greatest(F.col(at) - F.ceil(reach / step), F.lit(0)).cast("int"), F.least(F.col(at) + F.ceil(reach / step), F.lit(n - 1)).cast("int"))
+    t = t.withColumn("row", F.explode(around("r", sheet.dy, sheet.rows))).withColumn("col", F.explode(around("c", sheet.dx, sheet.cols)))
+    far2 = F.pow(F.col("east") - sheet.node_x(), F.lit(2.0)) + F.pow(F.col("north") - sheet.node_y(), F.lit(2.0))
+    t = t.select(*CELL, "depth", far2.alias("far2")).where(F.col("far2") < reach * reach)
+    hit = t.join(capture_radii(depth, sheet, limit), list(CELL)).where("far2 < reach * reach")
+    return hit.groupBy(*CELL).agg(F.max("depth").alias("z"))
 
 
 def nearest_shoal(t: DataFrame, holes: DataFrame, limit: int) -> DataFrame:
@@ -127,28 +228,20 @@ def nearest_shoal(t: DataFrame, holes: DataFrame, limit: int) -> DataFrame:
     return s.groupBy(*CELL).agg(F.max(F.struct((-F.col("k")).alias("near"), "z")).alias("b")).select(*CELL, F.col("b.z").alias("z"))
 
 
-def blobs(mask: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """4-connected components of cells with v = 1: (row, col, blob), blob = least row * 2^32 + col. Labels travel a step
-    along rows and columns at once by running minima, and each round is written in ``spark.checkpoint.dir``."""
-    spark = mask.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seabedflow-"))
-    t = mask.where("v = 1").select(*CELL, (F.col("row").cast("long") * (1 << 32) + F.col("col")).alias("blob"))
-    for along, across in (("col", "row"), ("row", "col")):
-        w = Window.partitionBy(across).orderBy(along)
-        t = t.withColumn(f"run_{along}", F.col(along) - F.row_number().over(w))
-    t = t.checkpoint()
-    for _ in range(rounds):
-        new = t
-        for along, across in (("col", "row"), ("row", "col")):
-            new = new.withColumn("blob", F.min("blob").over(Window.partitionBy(across, f"run_{along}")))
-        new = new.checkpoint()
-        if not new.alias("a").join(t.alias("b"), list(CELL)).where("a.blob <> b.blob").limit(1).count():
-            return new.select(*CELL, "blob")
-        t = new
-    raise RuntimeError("blobs did not settle")
+def blobs(mask: DataFrame) -> DataFrame:
+    """4-connected components of cells with v = 1: (row, col, blob), blob = least row * 2^32 + col.
+
+    Neighbours meet in joins on the cell, and components of the edges are found in a number of rounds that grows with the logarithm of the
+    longest path; no task holds a row of the sheet.
+    """
+    t = mask.where("v = 1").select(*CELL).distinct()
+    name = lambda r, c: F.col(r).cast("long") * (1 << 32) + F.col(c)
+    steps = F.array(F.struct(F.lit(0).alias("dr"), F.lit(1).alias("dc")), F.struct(F.lit(1).alias("dr"), F.lit(0).alias("dc")))
+    near = t.select(name("row", "col").alias("a"), "row", "col", F.explode(steps).alias("s"))
+    near = near.select("a", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"))
+    edges = near.join(t, list(CELL)).select("a", name("row", "col").alias("b"))
+    label = components(edges, "blobs")
+    return t.withColumn("id", name("row", "col")).join(label, "id", "left").select(*CELL, F.coalesce("component", "id").alias("blob"))
 
 
 def blob_stats(labelled: DataFrame, z: DataFrame) -> DataFrame:

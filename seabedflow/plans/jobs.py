@@ -10,19 +10,13 @@ from ..operators import estimate as E
 from ..operators import gridding as G
 from ..sources import grids as R
 
-#: A platform list describes devices of one survey; longer ones are refused, since they are broadcast.
-MAX_PLATFORMS = 10_000
-
 
 def gated_soundings(soundings: DataFrame, platforms: DataFrame) -> DataFrame:
     """Soundings (file, depth, across, ...) within the gates of their platform: depths positive-down, angles in degrees.
 
     Files are matched once each, not once for each sounding. A file that no platform fits stops the job.
     """
-    if platforms.limit(MAX_PLATFORMS + 1).count() > MAX_PLATFORMS:
-        raise ValueError(f"more than {MAX_PLATFORMS} platforms")
-    files = soundings.select(F.col("file").alias("name")).distinct()
-    known = G.platform_match(files, F.broadcast(platforms.select("rank", "recog")))
+    known = G.platform_match(soundings.select(F.col("file").alias("name")), platforms)
     gates = platforms.groupBy("recog").agg(F.min_by(F.struct("min_depth", "max_depth", "min_angle", "max_angle"), "rank").alias("g"))
     known = known.join(F.broadcast(gates), "recog", "left").select(F.col("name").alias("file"), "recog", "g.*")
     t = soundings.join(known, "file")

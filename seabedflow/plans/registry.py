@@ -286,9 +286,9 @@ def surface_pct(spark, sf):
     return S.percent_of_depth(S.arithmetic(m, G.median_surface(cells(spark, sf)), True), m).select("row", "col", *r4("pct"))
 
 
-@query(MEAN + ", h AS (SELECT floor(z / 2.0)::BIGINT AS bin, count(*) AS n FROM mean GROUP BY ALL) SELECT bin, n, round(n / (sum(n) OVER () * 2.0), 6) AS pmf FROM h")
+@query(MEAN + ", m AS (SELECT min(z) AS lo, max(z) AS hi, floor((max(z) - min(z)) / 2.0)::BIGINT AS slots FROM mean), c AS (SELECT floor(slots / (hi - lo) * (z - lo))::BIGINT AS slot, count(*) AS n FROM mean, m WHERE floor(slots / (hi - lo) * (z - lo)) < slots GROUP BY ALL), e AS (SELECT unnest(range(slots)) AS slot, lo, slots / (hi - lo) AS scale FROM m) SELECT slot, round((slot + 0.5) / scale + lo, 4) AS ordinate, coalesce(n, 0) AS n, round(coalesce(n, 0) * scale / (SELECT sum(n) FROM c), 6) AS pmf FROM e LEFT JOIN c USING (slot)")
 def surface_hist(spark, sf):
-    return S.histogram(mean(spark, sf), 2.0).select("bin", "n", F.round("pmf", 6).alias("pmf"))
+    return S.histogram(mean(spark, sf), 2.0).select("slot", *r4("ordinate"), "n", F.round("pmf", 6).alias("pmf"))
 
 
 @query(AROUND + f"SELECT row, col, round(CASE WHEN n = 0 THEN {math.pi / 2} ELSE atan(abs(z - m) / {DX}) END, 4) AS angle FROM nb WHERE z IS NOT NULL")
@@ -296,9 +296,21 @@ def spike_angle(spark, sf):
     return S.spike_angle(mean(spark, sf), HALF, DX).select("row", "col", *r4("angle"))
 
 
-@query(AROUND + f"SELECT row, col, round(CASE WHEN abs(z - m) / {DX} > {math.tan(1.2)} THEN NULL ELSE z END, 4) AS z FROM nb WHERE z IS NOT NULL")
+@query(AROUND + f"SELECT row, col, round(CASE WHEN n = 0 OR row < {HALF} OR row > {V.SHEET.rows - 1 - HALF} OR col < {HALF} OR col > {V.SHEET.cols - 1 - HALF} OR abs(z - m) / {DX} > {math.tan(1.2)} THEN NULL ELSE z END, 4) AS z FROM nb WHERE z IS NOT NULL")
 def despike(spark, sf):
-    return S.despike(mean(spark, sf), HALF, DX, 1.2).select("row", "col", *r4("z"))
+    return S.despike(mean(spark, sf), HALF, DX, 1.2, V.SHEET).select("row", "col", *r4("z"))
+
+
+@query(MEAN + "SELECT row, col, round(CASE WHEN z > -35 THEN NULL ELSE z END, 4) AS shallow_off, round(CASE WHEN z < -35 THEN NULL ELSE z END, 4) AS deep_off, round(abs(z), 4) AS size FROM mean")
+def clip(spark, sf):
+    m = mean(spark, sf)
+    cut = [S.clip(m, -35.0).withColumnRenamed("z", "shallow_off"), S.clip(m, -35.0, flip=True).withColumnRenamed("z", "deep_off"), S.magnitude(m).withColumnRenamed("z", "size")]
+    return cut[0].join(cut[1], ["row", "col"]).join(cut[2], ["row", "col"]).select("row", "col", *r4("shallow_off", "deep_off", "size"))
+
+
+@query(MEAN + ", o(dr, dc) AS (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)), k AS (SELECT row, col FROM mean WHERE z <= 0 AND row % 5 <> 4), e AS (SELECT row + dr AS row, col + dc AS col, count(*) AS n FROM k, o GROUP BY ALL HAVING count(*) = 5), d AS (SELECT DISTINCT row + dr AS row, col + dc AS col FROM e, o) SELECT m.row, m.col, round(CASE WHEN d.row IS NULL THEN NULL ELSE z END, 4) AS z FROM mean m LEFT JOIN d USING (row, col) WHERE m.row % 5 <> 4")
+def mask_edges(spark, sf):
+    return S.mask_edges(mean(spark, sf).where("row % 5 <> 4"), 1.0, 3.0).select("row", "col", *r4("z"))
 
 
 @query(AROUND + "SELECT row, col, round(coalesce(z, m), 4) AS z FROM nb WHERE z IS NOT NULL OR n > 7")
@@ -315,7 +327,7 @@ def gauss_filter(spark, sf):
 
 
 def _mask(spark, sf):
-    return cells(spark, sf).groupBy("row", "col").agg((F.avg("depth") > -36.0).cast("int").alias("v"))
+    return S.threshold(cells(spark, sf).groupBy("row", "col").agg(F.avg("depth").alias("z")), -36.0)
 
 
 MASK = WITH + ", mask AS (SELECT row, col, (avg(depth) > -36.0)::INT AS v FROM cel GROUP BY ALL), o(dr, dc) AS (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))"
@@ -336,14 +348,26 @@ def dilate(spark, sf):
     return S.dilate(_mask(spark, sf), 3)
 
 
-@query()
+@query(MASK.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT a.row, a.col, b.row AS r2, b.col AS c2 FROM mask a JOIN mask b ON a.v = 1 AND b.v = 1 AND abs(a.row - b.row) + abs(a.col - b.col) = 1),
+far AS (SELECT row, col, row AS r0, col AS c0 FROM mask WHERE v = 1 UNION SELECT n.r2, n.c2, far.r0, far.c0 FROM far JOIN n USING (row, col)),
+lab AS (SELECT row, col, min(r0::BIGINT * 4294967296 + c0) AS blob FROM far GROUP BY ALL), m AS (SELECT row, col, avg(depth) AS z FROM cel WHERE depth < -0.5 GROUP BY ALL)
+SELECT blob, count(*) AS pixels, min(row) AS row_min, max(row) AS row_max, min(col) AS col_min, max(col) AS col_max, round(avg(z), 4) AS mean_z, round(max(z), 4) AS shoalest FROM lab JOIN m USING (row, col) GROUP BY blob""")
 def blob_stats(spark, sf):
-    return S.blob_stats(S.blobs(_mask(spark, sf)), mean(spark, sf))
+    t = S.blob_stats(S.blobs(_mask(spark, sf)), mean(spark, sf))
+    return t.select("blob", "pixels", "row_min", "row_max", "col_min", "col_max", *r4("mean_z", "shoalest"))
+
+
+_EVERY = f"(SELECT unnest(range({V.SHEET.rows}))::INT AS row) r, (SELECT unnest(range({V.SHEET.cols}))::INT AS col) c"
 
 
-@query(MEAN + f"SELECT row + dr AS row, col + dc AS col, round(max(z), 4) AS z FROM mean, {OFF} GROUP BY ALL")
+@query(MEAN + f""", few AS (SELECT * FROM mean WHERE (row + col) % 3 <> 0), every AS (SELECT r.row, c.col, few.z FROM {_EVERY} LEFT JOIN few ON few.row = r.row AND few.col = c.col),
+ring AS (SELECT e.row, e.col, greatest(abs(e.row - f.row), abs(e.col - f.col)) AS ring, max(f.z) AS z FROM every e JOIN few f ON abs(e.row - f.row) <= 9 AND abs(e.col - f.col) <= 9 WHERE e.z IS NULL GROUP BY ALL),
+est AS (SELECT row, col, z FROM every WHERE z IS NOT NULL UNION ALL SELECT row, col, z FROM ring QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY ring) = 1)
+SELECT e.row, e.col, round(max(s.depth), 4) AS z FROM est e JOIN snd s ON pow(s.east - e.col * {V.SHEET.dx}, 2) + pow(s.north - ({V.SHEET.y0} - e.row * {V.SHEET.dy}), 2) < pow(2.5 - 0.025 * e.z, 2)
+  AND abs(s.east - e.col * {V.SHEET.dx}) < 30 AND s.east >= -0.5 * {V.SHEET.dx} AND e.z < 0 GROUP BY ALL""")
 def coverage(spark, sf):
-    return S.coverage(mean(spark, sf), HALF).select("row", "col", *r4("z"))
+    few = mean(spark, sf).where("(row + col) % 3 <> 0")
+    return S.coverage(V.soundings(spark, sf), few, V.SHEET).select("row", "col", *r4("z"))
 
 
 @query(MEAN + ", hole AS (SELECT row, col FROM mean WHERE (row + col) % 3 = 0), src AS (SELECT * FROM mean WHERE (row + col) % 3 <> 0), c AS (SELECT h.row, h.col, greatest(abs(h.row - s.row), abs(h.col - s.col)) AS ring, s.z FROM hole h JOIN src s ON abs(h.row - s.row) <= 2 AND abs(h.col - s.col) <= 2) SELECT row, col, round(max(z), 4) AS z FROM c JOIN (SELECT row, col, min(ring) AS ring FROM c GROUP BY ALL) USING (row, col, ring) GROUP BY ALL")
@@ -436,7 +460,7 @@ _PRED = MEAN + f""", s AS (SELECT *, east / 1.0 - floor(east / 1.0) AS u, 1 - ((
 p AS (SELECT r, c, s.u, s.w, s.dr, a.z AS z0, b.z AS z1, d.z AS z2, e.z AS z3 FROM s JOIN mean a ON a.row = r AND a.col = c JOIN mean b ON b.row = r AND b.col = c + 1 JOIN mean d ON d.row = r + 1 AND d.col = c JOIN mean e ON e.row = r + 1 AND e.col = c + 1),
 q AS (SELECT r, c, (z0 * (1 - u) + z1 * u) * w + (z2 * (1 - u) + z3 * u) * (1 - w) AS z,
   pow({_VAR!r}, 2) * (pow(z0 * (1 - u) * w, 2) + pow(z1 * u * w, 2) + pow(z2 * (1 - u) * (1 - w), 2) + pow(z3 * u * (1 - w), 2))
-  + dr * (pow((z1 - z0) * w + (z3 - z2) * (1 - w), 2) + pow((z1 - z3) * u + (z0 - z3) * (1 - u), 2) / 16) AS v FROM p)"""
+  + dr * (pow((z1 - z0) * w + (z3 - z2) * (1 - w), 2) + pow((z1 - z3) * u + (z0 - z2) * (1 - u), 2) / 16) AS v FROM p)"""
 
 
 @query(_PRED + " SELECT r AS row, c AS col, count(*) AS n, round(avg(z), 4) AS pred_depth, round(avg(v), 4) AS pred_var FROM q GROUP BY ALL")

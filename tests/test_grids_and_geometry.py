@@ -78,5 +78,5 @@ def test_formulas(spark):
         H.packed_time(lit(19700102), lit(1500)), H.packed_time(lit(19701301), lit(0)), H.stamp_time(lit("2000/01/01:00:00:07")), H.stamp_time(lit("no")),
         H.prior_variance(lit(-100.0), 1.96, True), H.prior_variance(lit(-100.0), 0.5, False), H.time_fields(lit(951782400.25 + 3661)),
     ).first()
-    assert r[0] == 1.0 and r[1] == pytest.approx(10 / 16 + 2 * (9 / 4 + 9)) and list(r[2:8]) == [86401.5, None, 946684807.0, None, pytest.approx(1.0), 0.25]
+    assert r[0] == 1.0 and r[1] == pytest.approx(10 / 16 + 2 * (9 / 4 + 1)) and list(r[2:8]) == [86401.5, None, 946684807.0, None, pytest.approx(1.0), 0.25]
     assert tuple(r[8]) == (2000, 2, 29, 60, 1, 1, 1, 250.0) and H.depth_thresholds(90.0, [2.0]) == [pytest.approx(1.0)]
