@@ -16,6 +16,7 @@ from ..operators import estimate as E
 from ..operators import gridding as G
 from ..operators import series as T
 from ..operators import surfaces as S
+from ..sources import datagrams as D
 from ..sources import text as X
 from ..sources import views as V
 from . import jobs as J
@@ -415,8 +416,7 @@ def tide_correct(spark, sf):
     e = V.series(spark, sf)
     s = e.where("event_id % 2 = 0").select(F.col("user_id").alias("k"), "ts", "value")
     t = e.where("event_id % 2 = 1").select(F.col("user_id").alias("k"), F.col("event_id").alias("id"), "ts", (-F.col("value")).alias("depth"))
-    tide = T.interpolate(s, t).where("value is not null")
-    return t.select("id", "depth").join(tide.select("id", "value"), "id").select("id", F.round(F.col("depth") + F.col("value"), 4).alias("depth"))
+    return T.tide_corrected(t, s).select("id", *r4("depth"))
 
 
 @query("SELECT c_custkey, (c_custkey % 24 * 60 + c_custkey % 60) * 60 + 16.5 AS epoch, round(-(70 + 42.25 / 60), 8) AS lon, round(43 + (c_custkey % 60 + 0.5) / 60, 8) AS lat FROM customer")
@@ -548,3 +548,22 @@ SELECT l_orderkey, l_linenumber, round(tv, 8) AS relative_var, round(lv, 8) AS l
 def swath_horizontal(spark, sf):
     s = U.Swath("sb8101", _SHIP)
     return pings(spark, sf).select("l_orderkey", "l_linenumber", F.round(s.relative_var(), 8).alias("relative_var"), F.round(s.latency_var(), 8).alias("latency_var"), F.round(s.beam_var(), 6).alias("beam_var"), F.round(s.horizontal_var(), 6).alias("dr"))
+
+
+_FIR, _STEP = D.fir(100.0, 20.0, 7)
+_TAPS = ", ".join(f"({j - len(_FIR) // 2}, {h!r})" for j, h in enumerate(_FIR))
+
+
+@query(f"""WITH v AS (SELECT user_id, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY user_id HAVING count(*) > 6), k(j, h) AS (VALUES {_TAPS}),
+i AS (SELECT user_id, x, unnest(range(0, len(x), {_STEP})) AS i FROM v), p AS (SELECT user_id, i, h, x, abs(i + j) AS p FROM i, k)
+SELECT user_id, i // {_STEP} AS place, round(sum(h * x[(CASE WHEN p > len(x) - 1 THEN 2 * (len(x) - 1) - p ELSE p END + 1)::BIGINT]), 4) AS value FROM p GROUP BY ALL""")
+def fir_decimate(spark, sf):
+    t = V.series(spark, sf).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("x")).where("size(x) > 6")
+    t = t.select("user_id", F.posexplode(D.decimated(F.col("x.value"), _FIR, _STEP)).alias("place", "value"))
+    return t.select("user_id", "place", *r4("value"))
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) <= 3 AND epoch_us(max(ts) OVER (PARTITION BY user_id)) - epoch_us(ts) <= 86400000000::BIGINT")
+def kept_samples(spark, sf):
+    e = V.series(spark, sf)
+    return T.all_but_n(T.all_but_t(e, 86400.0, "user_id"), 3, "user_id").select("user_id", "event_id")
