@@ -136,6 +136,22 @@ def gated(t: DataFrame, p: Params) -> DataFrame:
     return t.withColumn("var", F.col("dz") * (1 + p.var_scale * F.pow(dist, F.lit(p.dist_exp))))
 
 
+def nodal_pairs(t: DataFrame, sheet: SheetSpec, p: Params) -> DataFrame:
+    """Pairs by the older rule: all nodes of the square as wide as the uncapped radius, without a capture distance."""
+    maxvar = (F.lit(p.fixed2) + F.lit(p.pct2) * F.col("depth") * F.col("depth")) / (CI95 * CI95)
+    r = p.dist_scale * F.pow(F.greatest(F.lit(2.0), maxvar / F.col("dz")) - 1, F.lit(1.0 / p.dist_exp))
+    # cells by truncation towards the north-west node, as far as the sheet goes
+    fc, fr = (F.col("east") - sheet.x0) / sheet.dx, (F.lit(sheet.y0) - F.col("north")) / sheet.dy
+    lo = lambda v, n: F.greatest(v.cast("int"), F.lit(0))
+    hi = lambda v, n: F.least(v.cast("int"), F.lit(n - 1))
+    t = t.withColumns({"r0": lo(fr - r / sheet.dy, sheet.rows), "r1": hi(fr + r / sheet.dy, sheet.rows), "c0": lo(fc - r / sheet.dx, sheet.cols), "c1": hi(fc + r / sheet.dx, sheet.cols)})
+    t = t.where(f"r0 <= r1 and c0 <= c1 and r0 < {sheet.rows - 1} and c0 < {sheet.cols - 1}")
+    t = t.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1"))).drop("r0", "r1", "c0", "c1")
+    dx, dy = sheet.node_x() - F.col("east"), sheet.node_y() - F.col("north")
+    dist = F.sqrt(dx * dx + dy * dy) + CI95 * F.sqrt("dr")
+    return t.withColumn("var", F.col("dz") * (1 + p.var_scale * F.pow(dist, F.lit(p.dist_exp))))
+
+
 def at_nodes(pairs: DataFrame, surface: DataFrame) -> DataFrame:
     """Pairs with the initial surface (row, col, z, var; z NaN: frozen) at their node as ``node_depth`` and ``node_var``; null where it has none."""
     s = surface.select(*CELL, F.col("z").alias("node_depth"), F.col("var").alias("node_var"))

@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bounds as B
 from ..functions import geometry as H
 from ..functions import projections as M
 from ..functions import uncertainty as U
-from ..functions.params import CI95, CI99_GRID, CI99_NODE, Params
+from ..functions.params import CI95, CI99_GRID, CI99_NODE, Params, SheetSpec
 from ..operators import estimate as E
 from ..operators import gridding as G
 from ..operators import series as T
@@ -20,6 +21,7 @@ from ..sources import datagrams as D
 from ..sources import text as X
 from ..sources import views as V
 from . import jobs as J
+from . import sheets as K
 from .store import shared_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -567,3 +569,50 @@ def fir_decimate(spark, sf):
 def kept_samples(spark, sf):
     e = V.series(spark, sf)
     return T.all_but_n(T.all_but_t(e, 86400.0, "user_id"), 3, "user_id").select("user_id", "event_id")
+
+
+@query(WITH + f"""SELECT floor(floor(east / 1.5)::BIGINT / 8.0)::INT AS tile_x, floor(floor((north - 20) / 2.5)::BIGINT / 5.0)::INT AS tile_y, count(*) AS n, min(((floor(east / 1.5)::BIGINT % 8) + 8) % 8)::INT AS x, max(((floor((north - 20) / 2.5)::BIGINT % 5) + 5) % 5)::INT AS y FROM snd GROUP BY ALL""")
+def tile_index(spark, sf):
+    t = V.soundings(spark, sf).select(B.tile_of(F.col("east"), F.col("north") - 20, 1.5, 2.5, 8, 5).alias("t"))
+    return t.groupBy("t.tile_x", "t.tile_y").agg(F.count("*").alias("n"), F.min("t.x").alias("x"), F.max("t.y").alias("y"))
+
+
+@query(WITH + "SELECT platform, count(*) AS n, epoch(min(ts))::BIGINT AS first, epoch(max(ts))::BIGINT AS last, round(min(east), 4) AS west, round(min(north), 4) AS south, round(max(east), 4) AS east, round(max(north), 4) AS north FROM snd GROUP BY ALL")
+def line_bounds(spark, sf):
+    t = J.line_bounds(V.soundings(spark, sf), "platform")
+    return t.select("platform", "n", *[F.col(c).cast("timestamp").cast("long").alias(c) for c in ("first", "last")], *r4("west", "south", "east", "north"))
+
+
+_NODAL = f"{P.dist_scale} * pow(greatest(2.0, (({P.fixed2} + {P.pct2} * depth * depth) / ({CI95} * {CI95})) / dz) - 1, {1 / P.dist_exp})"
+
+
+@query(WITH + f""", r AS (SELECT *, {_NODAL} AS r FROM snd), s AS (SELECT *, greatest(trunc((40 - north - r) / 4), 0)::INT AS r0, least(trunc((40 - north + r) / 4), 10)::INT AS r1, greatest(trunc(east - r), 0)::INT AS c0, least(trunc(east + r), 49)::INT AS c1 FROM r),
+p AS (SELECT *, unnest(range(r0, r1 + 1)) AS row FROM s WHERE r0 <= r1 AND c0 <= c1 AND r0 < 10 AND c0 < 49), q AS (SELECT *, unnest(range(c0, c1 + 1)) AS col FROM p)
+SELECT row::INT AS row, col::INT AS col, count(*) AS n, round(sum(dz * (1 + pow(sqrt(pow(col - east, 2) + pow(40 - 4 * row - north, 2)) + {CI95} * sqrt(dr), 2))), 3) AS var FROM q GROUP BY ALL""")
+def nodal_pairs(spark, sf):
+    return G.nodal_pairs(V.soundings(spark, sf), V.SHEET, P).groupBy("row", "col").agg(F.count("*").alias("n"), F.round(F.sum("var"), 3).alias("var"))
+
+
+_FINE = SheetSpec(1.25, 37.0, 0.5, 3.0, 70, 9)
+
+
+@query(MEAN + f""", n AS (SELECT r.row, c.col, (c.col * 0.5 + 1.25) AS x, 40 - (37 - 3 * r.row) AS y FROM (SELECT unnest(range(9))::INT AS row) r, (SELECT unnest(range(70))::INT AS col) c), k AS (SELECT *, floor(x)::INT AS c0, floor(y / 4.0)::INT AS r0, x - floor(x) AS u, 1 - (y / 4.0 - floor(y / 4.0)) AS w FROM n),
+z AS (SELECT k.row, k.col, u, w, a.z AS nw, b.z AS ne, d.z AS sw, e.z AS se FROM k JOIN mean a ON a.row = r0 AND a.col = c0 JOIN mean b ON b.row = r0 AND b.col = c0 + 1 JOIN mean d ON d.row = r0 + 1 AND d.col = c0 JOIN mean e ON e.row = r0 + 1 AND e.col = c0 + 1)
+SELECT row, col, round((nw * (1 - u) + ne * u) * w + (sw * (1 - u) + se * u) * (1 - w), 4) AS z, round(0.04 * (pow((1 - u) * w, 2) + pow(u * w, 2) + pow((1 - u) * (1 - w), 2) + pow(u * (1 - w), 2)), 6) AS var FROM z""")
+def resampled_surface(spark, sf):
+    start = J.start_surface(mean(spark, sf), 0.2)
+    return J.resampled(start, V.SHEET, _FINE).select("row", "col", *r4("z"), F.round("var", 6).alias("var"))
+
+
+@query(MASK + f", n AS (SELECT r.row, c.col, (c.col * 0.5 + 1.25) AS x, 40 - (37 - 3 * r.row) AS y FROM (SELECT unnest(range(9))::INT AS row) r, (SELECT unnest(range(70))::INT AS col) c) SELECT n.row, n.col, coalesce(v, 0)::INT AS v FROM n LEFT JOIN mask m ON m.row = floor(y / 4.0) AND m.col = floor(x) AND x BETWEEN 0 AND 49 AND y / 4.0 BETWEEN 0 AND 10")
+def scaled_mask(spark, sf):
+    return K.scaled_mask(_mask(spark, sf), V.SHEET, _FINE)
+
+
+@query(FOLD + """, o(dr, dc) AS (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)), s AS (SELECT row, col FROM prior WHERE nhyp > 40), d AS (SELECT DISTINCT s.row + dr AS row, s.col + dc AS col FROM s, o), m AS (SELECT p.* FROM prior p JOIN d USING (row, col)),
+n AS (SELECT a.row, a.col, b.row AS r2, b.col AS c2 FROM m a JOIN m b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
+far(row, col, r0, c0) AS (SELECT row, col, row, col FROM m UNION SELECT n.r2, n.c2, far.r0, far.c0 FROM far JOIN n USING (row, col)), lab AS (SELECT row, col, min(r0::BIGINT * 4294967296 + c0) AS blob FROM far GROUP BY ALL)
+SELECT blob, count(*) AS nodes, (min(col) + max(col)) / 2.0 AS x, 40 - 4 * (min(row) + max(row)) / 2.0 AS y, (max(col) - min(col))::DOUBLE AS width, 4.0 * (max(row) - min(row)) AS height, round(max(depth), 4) AS shoalest, round(avg(unct), 4) AS mean_unct, round(max(ratio), 4) AS focus_ratio FROM lab JOIN prior USING (row, col) GROUP BY blob""")
+def areas_of_interest(spark, sf):
+    t = E.prior_surface(folded(spark, sf)).withColumn("nhyp", F.when(F.col("nhyp") > 40, 2).otherwise(1))
+    return J.areas_of_interest(stored(t), V.SHEET, 2.5).select("blob", "nodes", "x", "y", "width", "height", *r4("shoalest", "mean_unct", "focus_ratio"))
