@@ -25,7 +25,7 @@ def test_stream_equals_batch(spark, tmp_path, files):
     for n in range(files):
         spark.createDataFrame(rows[n * step : n * step + step], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = S.stream_interpolate(src, idle_ms=3_600_000).writeStream.outputMode("append").format("memory").queryName(f"series{files}").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = S.stream_interpolate(src).writeStream.outputMode("append").format("memory").queryName(f"series{files}").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {r.id: r["values"] for r in spark.sql(f"select * from series{files}").collect()}
     want = {}
