@@ -33,12 +33,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, partitions, release, text_of, whole_groups
+from .common import components, durable, join_with_hot_keys, partitions, release, text_of, whole_groups
 from .suffix_dedup import BASE, INVERSE, LAST, _INV, _POW, _powers, _runs, _spread
 
 WORDS, TREES, DEPTH, TILE, TILE_BYTES = 5, 25, 8, 1024, 16 << 20
-#: A text with more than one in ``HOT`` of all rows is joined by broadcast; there are at most ``HOT`` such texts.
-HOT = 1000
 _GAP = re.compile(r"[\W_]+")
 _rng = np.random.default_rng(20240229)
 _MULT = _rng.integers(0, 1 << 31, TREES * DEPTH, dtype="u4") * np.uint32(2) + np.uint32(1)
@@ -329,17 +327,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     release(texts)
     known = F.when(F.col("best.dk") < LAST, F.col("best.dk"))
     named = classes.select("sha", "copies", known.alias("class_id"), "n_links", F.lit(True).alias("found"))
-    total = docs.count()
-    hot = F.broadcast(named.where(F.col("copies") * HOT > total).drop("copies"))
-    rest = named.where(F.col("copies") * HOT <= total).drop("copies")
-    rows = src.select("doc_id", "sha")
-    by_hot = rows.join(hot, "sha", "left")
-    often = by_hot.where("found").select("doc_id", "class_id", "n_links")
+    keys = durable(src.select("doc_id", "sha"), "document-keys")
+    out = join_with_hot_keys(keys, named, "sha", keys.count())
     # null and empty texts are in no class
-    other = by_hot.where("found is null").select("doc_id", "sha").join(rest, "sha", "left")
-    empty = F.col("found").isNull()
-    other = other.select("doc_id", F.when(empty, F.col("doc_id").cast("long")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return often.unionByName(other)
+    own = F.when(F.col("found"), F.col("class_id")).otherwise(F.col("doc_id").cast("long"))
+    return out.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:

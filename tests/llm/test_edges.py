@@ -69,7 +69,7 @@ def test_near_copies_at_the_threshold_are_found(spark):
 
 def test_large_groups_are_dealt_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "TILE", 4)
-    monkeypatch.setattr(near_dup, "HOT", 3)
+    monkeypatch.setattr(common, "HOT", 3)
     ws = vocabulary(200)
     # a chain: each text shares 0.9 with the next, less with later ones
     chain = [" ".join(ws[k * 5 : k * 5 + 104]) for k in range(12)]
