@@ -19,6 +19,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,11 @@ TEMPLATES = {
     "mit": ("released under the mit license", "licensed under the mit license", "mit licensed", "spdx license identifier mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "mit license", "the mit license mit", "mit style license", "this project uses the mit license", "distributed under the terms of the mit license", "license mit"),
     "mpl": ("licensed under the mozilla public license version 2 0", "released under the mpl", "this source code form is subject to the terms of the mozilla public license", "spdx license identifier mpl 2 0", "mozilla public license version 2 0", "mozilla public license", "this project uses the mpl 2 0 license", "license mpl 2 0"),
     "proprietary": ("all rights reserved", "copyright all rights reserved no part may be reproduced without permission", "proprietary and confidential license", "this file is proprietary and confidential", "copyright 2020 company inc all rights reserved"),
+    "artistic": ("licensed under the artistic license 2 0", "released under the artistic license", "the artistic license", "spdx license identifier artistic 2 0", "this program is free software you can redistribute it and or modify it under the artistic license", "license artistic 2 0"),
+    "boost": ("distributed under the boost software license version 1 0", "licensed under the boost software license", "boost software license 1 0", "spdx license identifier bsl 1 0", "license bsl 1 0"),
+    "epl": ("licensed under the eclipse public license version 2 0", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license v 2 0", "released under the epl", "spdx license identifier epl 2 0", "license epl 2 0"),
+    "wtfpl": ("do what the fuck you want to public license", "released under the wtfpl", "licensed under the wtfpl version 2", "spdx license identifier wtfpl", "license wtfpl"),
+    "zlib": ("licensed under the zlib license", "released under the zlib license", "zlib license", "spdx license identifier zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "license zlib"),
     "unlicense": ("this is free and unencumbered software released into the public domain", "released under the unlicense", "spdx license identifier unlicense", "the unlicense", "this project uses the unlicense", "license unlicense"),
 }
 #: Sentences with the same words that grant nothing.
@@ -50,35 +56,44 @@ OTHER = (
     "a license fee is due each year", "the pilot was licensed to fly at night", "the gnu grazed on the plain with its herd", "the foundation of the house is stone", "creative people in the commons debated",
     "copyright law is taught in the second year", "please read the terms and conditions", "the restaurant has a license to serve wine", "source and binary stars were observed", "permission to land was granted free of charge",
     "the mozilla browser was updated", "the reserved seats were all taken", "the domain of this function is public knowledge", "all rights of way are reserved for walkers", "a warranty covers parts for two years",
-    "the plate on the car and the license number", "software is used in the lab without modification", "the isc conference met in spring", "attribution of the painting is disputed", "commercial fishing requires a license",
+    "the plate on the car and the license number", "all rights reserved to the crown by the treaty", "rights reserved to the tribes remain in law", "powers and rights are reserved to the people", "the mit license plate collection was sold", "a bsd license plate hung on the wall", "issued under the state license plate program", "the boost in sales and the license fee",
+    "an eclipse is public and needs no license", "an artistic license was taken with the story", "he has an artistic temperament and a license to drive", "the isc license exam was postponed", "released under the licence of the crown", "the public domain of the state park", "software is used in the lab without modification", "the isc conference met in spring", "attribution of the painting is disputed", "commercial fishing requires a license",
 )
-ANCHORS = ("license", "licensed", "licence", "licenced", "licensing", "copyright", "creative", "commons", "apache", "mit", "bsd", "gnu", "gpl", "gplv2", "gplv3", "lgpl", "lgplv3", "lgplv2", "agpl", "agplv3", "affero", "mozilla", "mpl", "isc", "cc", "cc0", "spdx", "unlicense", "domain", "rights", "reserved", "redistribution", "permission", "warranty", "proprietary")
+ANCHORS = ("license", "licensed", "licence", "licenced", "licensing", "copyright", "creative", "commons", "apache", "mit", "bsd", "gnu", "gpl", "gplv2", "gplv3", "lgpl", "lgplv3", "lgplv2", "agpl", "agplv3", "affero", "mozilla", "mpl", "isc", "cc", "cc0", "spdx", "unlicense", "domain", "rights", "reserved", "redistribution", "permission", "warranty", "proprietary", "artistic", "boost", "bsl", "eclipse", "epl", "wtfpl", "zlib")
 NEAR = 8
 _GRANT = r"(?:licensed|released|distributed|redistributed|available|published|provided|issued|offered|covered|shared)(?: \w+){0,3} (?:under|by|with)(?: \w+){0,6}?"
 _NAMES = {
     "agpl": r"(?:gnu )?affero general public license|(?:gnu )?agpl(?:v?3)?",
     "apache": r"apache(?: software)?(?: license| 2)",
+    "artistic": r"artistic(?! license (?:was|is|with|to|in))",
+    "boost": r"boost software|bsl",
     "bsd": r"(?:[0234] clause )?bsd(?: [0234] clause)?",
     "cc-by": r"cc by(?! nc| sa| nd)|creative commons attribution(?! non ?commercial| share ?alike| no ?deriv)",
     "cc-by-nc": r"cc by nc|creative commons attribution non ?commercial",
     "cc-by-sa": r"cc by sa|creative commons attribution share ?alike",
     "cc0": r"cc0|cc zero|creative commons zero",
+    "epl": r"eclipse public license|epl",
     "gpl": r"gnu general public license|(?:gnu )?gpl(?:v?[123])?",
     "isc": r"isc",
     "lgpl": r"(?:gnu )?(?:lesser|library) general public license|(?:gnu )?lgpl(?:v?[123])?",
     "mit": r"mit|expat",
     "mpl": r"mozilla public license|mpl(?:v?[12])?",
     "unlicense": r"unlicense",
+    "wtfpl": r"wtfpl",
+    "zlib": r"zlib(?: libpng)?",
 }
 #: What identifies a notice by itself.
 _WHOLE = {
     "agpl": r"affero general public license",
     "apache": r"apache (?:software )?license|you may not use this file except in compliance with the license",
+    "artistic": r"the artistic license(?! (?:was|is|with|to|in|of))",
+    "boost": r"boost software license",
     "bsd": r"bsd style license|redistribution and use in source and binary forms",
     "cc-by": r"cc by [1-4] 0|creative commons attribution(?: [1-4] 0)?(?: international)? license|creative commons attribution [1-4] 0",
     "cc-by-nc": r"cc by nc|creative commons attribution non ?commercial|attribution non ?commercial [1-4] 0",
     "cc-by-sa": r"cc by sa|creative commons attribution share ?alike|attribution share ?alike [1-4] 0",
     "cc0": r"cc0 1 0|cc0 universal|creative commons zero|public domain dedication|(?:work|text|file|document) is in the public domain|dedicated to the public domain",
+    "epl": r"eclipse public license",
     "gpl": r"gnu general public license|gnu gpl",
     "isc": r"permission to use copy modify and(?: or)? distribute this software for any purpose",
     "lgpl": r"(?:lesser|library) general public license|gnu lgpl",
@@ -86,6 +101,8 @@ _WHOLE = {
     "mpl": r"mozilla public license",
     "proprietary": r"all rights reserved|proprietary and confidential",
     "unlicense": r"free and unencumbered software released into the public domain|the unlicense",
+    "wtfpl": r"do what the f\w+ you want to public license",
+    "zlib": r"in no event will the authors be held liable for any damages arising from the use of this software",
 }
 CORES = {
     f: re.compile(r"\b(?:" + "|".join([_WHOLE[f]] * (f in _WHOLE) + [rf"{_GRANT} (?:{n})|(?:{n})(?: v?\d+)?(?: \d+)?(?: only| or later| style)? licensed?|license(?: identifier)?(?: is| type)?(?: the)? (?:{n})" for n in [_NAMES.get(f)] if n]) + r")\b")
@@ -114,6 +131,27 @@ def _varied(words: list[str], rng: random.Random, filler: list[str]) -> list[str
     return [*pad(), *kept, *pad()]
 
 
+class _Sparse:
+    """A matrix of zeros and ones as the places of the ones in each row; every row has one."""
+
+    def __init__(self, rows: list[list[int]], width: int):
+        self.width, self.at = width, np.concatenate(rows)
+        self.begin = np.cumsum([0, *map(len, rows)])[:-1]
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        by = np.argsort(self.at, kind="stable")
+        self.row, column = row[by], self.at[by]
+        self.cut = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
+        self.column = column[self.cut]
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(m[self.at], self.begin)
+
+    def transposed_times(self, m: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.width, m.shape[1]))
+        out[self.column] = np.add.reduceat(m[self.row], self.cut)
+        return out
+
+
 class LicenseModel:
     def __init__(self, copies: int = 30, steps: int = 250, ridge: float = 1e-4, seed: int = 11, pass_rate: float = 0.01):
         rng = random.Random(seed)
@@ -129,18 +167,19 @@ class LicenseModel:
         held, used = rows[::5], [r for i, r in enumerate(rows) if i % 5]
         vocabulary = sorted({g for _, ws in used for g in grams(ws)})
         self.index = {g: i for i, g in enumerate(vocabulary)}
-        x = np.stack([self._row(ws) for _, ws in used])
+        rows_of = [self._features(ws) for _, ws in used]
+        x = _Sparse(rows_of, len(self.index) + 1)
         y = np.array([c for c, _ in used])
         hot = np.eye(len(self.names))[y]
         own = (1 / np.bincount(y, minlength=len(self.names)))[y][:, None]
         own = own / own.mean()
-        theta = np.zeros((x.shape[1], len(self.names)))
+        theta = np.zeros((len(self.index) + 1, len(self.names)))
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for k in range(1, steps + 1):
-            z = x @ theta
+            z = x.times(theta)
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            g = x.T @ (own * (hot - p)) / len(y) - ridge * theta
+            g = x.transposed_times(own * (hot - p)) / len(y) - ridge * theta
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta += 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         self.theta = theta
@@ -148,19 +187,13 @@ class LicenseModel:
         foreign = sorted(max(self.certainty(f, ws) for f in CORES) for c, ws in held if c == 0)
         self.threshold = max(0.5, foreign[int(len(foreign) * (1 - pass_rate))])
 
-    def _row(self, words: Sequence[str]) -> np.ndarray:
-        x = np.zeros(len(self.index) + 1)
-        x[-1] = 1
-        for g in grams(words):
-            i = self.index.get(g)
-            if i is not None:
-                x[i] = 1
-        return x
+    def _features(self, words: Sequence[str]) -> list[int]:
+        """Places of the known n-grams, and the constant's."""
+        return sorted(i for i in (self.index.get(g) for g in grams(words)) if i is not None) + [len(self.index)]
 
     def certainty(self, family: str, words: Sequence[str]) -> float:
         """Probability of the family where only it and unknown come into question."""
-        at = [i for i in (self.index.get(g) for g in grams(words)) if i is not None]
-        z = self.theta[at].sum(0) + self.theta[-1]
+        z = self.theta[self._features(words)].sum(0)
         return float(1 / (1 + np.exp(np.clip(z[0] - z[self.names.index(family)], -50, 50))))
 
     def paragraph(self, text: str) -> list[tuple[str, float]]:
@@ -175,6 +208,12 @@ class LicenseModel:
         return list(found.items())
 
 
+@cache
+def default_model() -> LicenseModel:
+    """Fitted once in a process; the training texts are fixed, so every fit is the same."""
+    return LicenseModel()
+
+
 def paragraphs(text: str) -> Iterator[str]:
     """Runs of adjacent lines that hold words."""
     lines = []
@@ -191,7 +230,7 @@ def paragraphs(text: str) -> Iterator[str]:
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     """One row per document: doc_id, family (null if none), families, n_paragraphs (confirmed ones), confidence."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model or LicenseModel())
+    sent = spark.sparkContext.broadcast(model or default_model())
     anchor = re.compile(r"(?i)(?<![^\W_])(?:" + "|".join(ANCHORS) + r")(?![^\W_])")
 
     def scanned(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
