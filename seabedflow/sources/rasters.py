@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.params import SheetSpec
+
 #: Numpy type, bits, sample format and missing value by name; tags and field sizes of the file format.
 KINDS = {"u8": ("u1", 8, 1, 255), "u16": ("u2", 16, 1, 65535), "f32": ("f4", 32, 3, float(np.finfo("f4").max))}
 WIDTH, HEIGHT, BITS, PACKING, MEANING, STRIPS, BANDS, STRIP_ROWS, STRIP_BYTES, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 339
@@ -88,3 +90,53 @@ def encode_tiles(t: DataFrame, kind: str = "f32", tile: int = 511) -> DataFrame:
     t = t.where("z is not null").groupBy("row", "col").agg(F.min("z").cast("double").alias("z"))
     t = t.withColumns({"tile_row": F.floor(F.col("row") / tile).cast("int"), "tile_col": F.floor(F.col("col") / tile).cast("int")})
     return t.groupBy("tile_row", "tile_col").applyInPandas(packed, "tile_row int, tile_col int, content binary")
+
+
+#: The header of an R4 raster (big-endian, 1,024 bytes) and numpy types by its type number.
+R4_HEAD = struct.Struct(">4sIII6d4B9f72s72sc7s768s")
+R4_KINDS = {1: "u1", 2: ">u2", 3: ">f4"}
+R4_PROJECTIONS = {"none": 0, "mercator": 1, "utm": 2, "lonlat": 3}
+
+
+def encode_r4(z: np.ndarray, spec: SheetSpec, kind: int = 3, projection: str = "utm", meridian: float = 0.0) -> bytes:
+    """A raster of depths with its place; missing values are 0. Row 0 is the northern edge."""
+    if z.shape != (spec.rows, spec.cols):
+        raise ValueError(f"{z.shape} values for {spec.rows} x {spec.cols} nodes")
+    filled = np.nan_to_num(z, nan=0.0)
+    if kind != 3 and ((filled < 0) | (filled > np.iinfo(R4_KINDS[kind]).max)).any():
+        raise ValueError(f"values out of the range of type {kind}")
+    south, east = spec.y0 - (spec.rows - 1) * spec.dy, spec.x0 + (spec.cols - 1) * spec.dx
+    known = z[~np.isnan(z)]
+    lo, hi = (float(known.min()), float(known.max())) if known.size else (0.0, 0.0)
+    place = (spec.x0, east, south, spec.y0, spec.dx, spec.dy)
+    head = R4_HEAD.pack(b"OMG1", spec.cols, spec.rows, 0, *place, kind, 0, R4_PROJECTIONS[projection], 0, meridian, *[0.0] * 6, hi, lo, b"", b"", b"N", b"", b"")
+    return head + filled.astype(R4_KINDS[kind]).tobytes()
+
+
+def decode_r4(content: bytes) -> tuple[SheetSpec, np.ndarray]:
+    """The nodes and values of an R4 raster, NaN where missing; raises on rotated projections and other formats."""
+    if len(content) < 1024 or bytes(content[:4]) != b"OMG1":
+        raise ValueError("no R4 raster")
+    cols, rows = struct.unpack_from(">II", content, 4)
+    west, _, _, north, dx, dy = struct.unpack_from(">6d", content, 16)
+    kind, _, projection, _ = struct.unpack_from("4B", content, 64)
+    if kind not in R4_KINDS or projection not in R4_PROJECTIONS.values():
+        raise ValueError(f"type {kind} in projection {projection} is not read")
+    form = np.dtype(R4_KINDS[kind])
+    if len(content) < 1024 + rows * cols * form.itemsize:
+        raise ValueError("the file ends inside its values")
+    z = np.frombuffer(content, form, rows * cols, 1024).reshape(rows, cols).astype("f8")
+    return SheetSpec(west, north, dx, dy, cols, rows), np.where(z == 0, np.nan, z)
+
+
+def read_r4(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Cells (file, row, col, z) of R4 rasters; missing values have no row."""
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file, content in zip(b.path, b.content, strict=True):
+                _, z = decode_r4(content)
+                row, col = np.nonzero(~np.isnan(z))
+                yield pd.DataFrame({"file": pd.Series([file] * len(row), dtype=object), "row": row.astype("i4"), "col": col.astype("i4"), "z": z[row, col]})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parsed, "file string, row int, col int, z double")

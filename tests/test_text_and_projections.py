@@ -9,9 +9,9 @@ from seabedflow.sources import text as X
 
 
 def test_gga(spark):
-    lines = ["$INGGA,203521.7816,4304.51332,N,07042.57241,W,1", "$GPGGA,000000,3000.0,S,01030.0,E,1", "$INGLL,1,2", "$INGGA,x,4304.5,N,07042.5,W", None, ""]
+    lines = ["$INGGA,014530.25,5130.6,N,00007.5,W,1", "$GPGGA,000000,3000.0,S,01030.0,E,1", "$INGLL,1,2", "$INGGA,x,4304.5,N,07042.5,W", None, ""]
     got = [r.g for r in spark.createDataFrame([(x,) for x in lines], "l string").select(X.parse_gga(F.col("l")).alias("g")).collect()]
-    assert got[0].epoch == pytest.approx(74121.7816) and got[0].lat == pytest.approx(43.075222) and got[0].lon == pytest.approx(-70.70954017)
+    assert got[0].epoch == pytest.approx(3600 + 45 * 60 + 30.25) and got[0].lat == pytest.approx(51 + 30.6 / 60) and got[0].lon == pytest.approx(-7.5 / 60)
     assert (got[1].epoch, got[1].lat, got[1].lon) == (0.0, -30.0, 10.5) and got[2:] == [None] * 4
 
 
