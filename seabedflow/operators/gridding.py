@@ -15,14 +15,17 @@ CELL = ("row", "col")
 
 
 def hits(cells: DataFrame) -> DataFrame:
+    """Soundings of each cell, those without a depth too; soundings without a place are counted under a null cell, repeated rows each."""
     return cells.groupBy(*CELL).agg(F.count("*").alias("hits"))
 
 
 def density(cells: DataFrame, sheet: SheetSpec) -> DataFrame:
+    """Hits for each square metre."""
     return hits(cells).select(*CELL, (F.col("hits") / (sheet.dx * sheet.dy)).alias("density"))
 
 
 def mean_surface(cells: DataFrame) -> DataFrame:
+    """Mean of the depths below half a metre; nulls, and cells without such depths, are left out."""
     return cells.where("depth < -0.5").groupBy(*CELL).agg(F.avg("depth").alias("z"))
 
 
@@ -37,8 +40,10 @@ def median_surface(cells: DataFrame) -> DataFrame:
 
 
 def sdev_surface(cells: DataFrame) -> DataFrame:
+    """Standard deviation of the population; null where a cell has no depth, 0 for a single one."""
     d = F.col("depth")
-    return cells.groupBy(*CELL).agg(F.sqrt(F.greatest(F.avg(d * d) - F.avg(d) * F.avg(d), F.lit(0.0))).alias("sdev"))
+    var = F.greatest(F.avg(d * d) - F.avg(d) * F.avg(d), F.lit(0.0))
+    return cells.groupBy(*CELL).agg(F.when(F.count(d) > 0, F.sqrt(var)).alias("sdev"))
 
 
 def trimmed_mean(cells: DataFrame, rounds: int = 100, tolerance: float = 0.01, scale: float = 2.0) -> DataFrame:
@@ -101,9 +106,15 @@ def influence_radius(p: Params) -> Column:
     return F.greatest(F.least(r, rmax), F.lit(p.dist_scale))
 
 
+def known(t: DataFrame) -> DataFrame:
+    """Soundings whose place, depth and errors are all there."""
+    return t.where("east is not null and north is not null and depth is not null and dz is not null and dr is not null")
+
+
 def node_candidates(t: DataFrame, sheet: SheetSpec, p: Params) -> DataFrame:
-    """Each sounding with each node nearer than its radius. Nodes are generated from the radius, so no node table is joined."""
-    t = t.withColumn("radius", influence_radius(p))
+    """Each sounding with each node nearer than its radius. Nodes are generated from the radius, so no node table is joined. Soundings without a place, a depth or an error
+    reach no node; repeated soundings count each."""
+    t = known(t).withColumn("radius", influence_radius(p))
     r = F.col("radius")
     row_lo, col_lo = F.ceil((sheet.y0 - F.col("north") - r) / sheet.dy), F.ceil((F.col("east") - r - sheet.x0) / sheet.dx)
     row_hi, col_hi = F.floor((sheet.y0 - F.col("north") + r) / sheet.dy), F.floor((F.col("east") + r - sheet.x0) / sheet.dx)
@@ -138,6 +149,7 @@ def gated(t: DataFrame, p: Params) -> DataFrame:
 
 def nodal_pairs(t: DataFrame, sheet: SheetSpec, p: Params) -> DataFrame:
     """Pairs by the older rule: all nodes of the square as wide as the uncapped radius, without a capture distance."""
+    t = known(t)
     maxvar = (F.lit(p.fixed2) + F.lit(p.pct2) * F.col("depth") * F.col("depth")) / (CI95 * CI95)
     r = p.dist_scale * F.pow(F.greatest(F.lit(2.0), maxvar / F.col("dz")) - 1, F.lit(1.0 / p.dist_exp))
     # cells by truncation towards the north-west node, as far as the sheet goes

@@ -1,7 +1,7 @@
 """Surface algebra, neighbourhood filters, morphology, resampling and blobs on cells (row, col, z).
 
 A neighbourhood sends each cell's value to the cells around it and aggregates there: one shuffle on the cell, with partial
-sums before it, and no self-join.
+sums before it, and no self-join. A null value is no value, as if the cell were not there; a cell is expected once; an empty surface gives an empty one.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def disc(size: int) -> list[tuple[int, int, float]]:
 
 def around(t: DataFrame, half: int) -> DataFrame:
     """z, mean and number of the neighbours without the cell itself; cells without a value of their own have null z."""
-    s = spread(t, square(half), "z")
+    s = spread(t.where("z is not null"), square(half), "z")
     other = F.when(~F.col("own"), F.col("z"))
     return s.groupBy(*CELL).agg(F.max(F.when(F.col("own"), F.col("z"))).alias("z"), F.avg(other).alias("m"), F.count(other).alias("n"))
 

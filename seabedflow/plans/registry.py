@@ -285,7 +285,7 @@ def surface_diff(spark, sf):
 
 @query(MEAN + ", med AS (SELECT row, col, list_sort(list(depth))[(count(*) // 2 + 1)::INT] AS z FROM cel GROUP BY ALL) SELECT row, col, round(100 * (mean.z - med.z) / -mean.z, 4) AS pct FROM mean JOIN med USING (row, col)")
 def surface_pct(spark, sf):
-    m = mean(spark, sf)
+    m = shared_table(mean(spark, sf), "mean")
     return S.percent_of_depth(S.arithmetic(m, G.median_surface(cells(spark, sf)), True), m).select("row", "col", *r4("pct"))
 
 
