@@ -13,8 +13,9 @@ doc_id. Sorting all suffixes of a corpus in one place does not scale, so suffixe
    ``length`` bytes are verified by their bytes and share the least doc_id.
 4. What each occurrence loses is one interval; intervals go back to the units, where they are merged.
 
-An anchor that more than ``hot`` units hold would gather without bound in one task. Its windows are written out
-and grouped by their bytes instead, which Spark aggregates before the shuffle; the result is the same.
+An anchor that occurs more than ``hot`` times would gather without bound in one task. Its different contexts are aggregated by their
+bytes instead, and so are the windows of these, which Spark does in part before the shuffle: an exact way for what the
+sort's buckets cannot hold, with the same result.
 
 Defined results: a null text is empty and loses nothing; a null doc_id counts as larger than any other, and rows with
 the same doc_id (null too) never remove from each other; repeated rows get equal results.
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, partitions, release, text_of
+from .common import durable, join_with_hot_keys, partitions, release, text_of, whole_groups
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -183,7 +184,7 @@ def least_ids(ctx: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray
     if not len(many):
         return out
     ext = Extensions(ctx[many])
-    r, a = np.nonzero(there[many])
+    r, a = np.nonzero(there[many] & _twins(ext, there[many], group[many], length))
     seg = group[many][r] * starts + a
     by = np.argsort(seg, kind="stable")
     r, a, seg = r[by], a[by], seg[by]
@@ -200,6 +201,22 @@ def least_ids(ctx: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray
     return out
 
 
+def _twins(ext: Extensions, there: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Which suffixes share the hash of their first ``length`` bytes with another one of their segment; the others cannot repeat and need no sorting."""
+    n, starts = there.shape
+    w = ext.hash[:, length : length + starts] - ext.hash[:, :starts] * ext.power[length]
+    key = _spread(w + _spread(group.astype("u8")[:, None] * np.uint64(starts) + np.arange(starts, dtype="u8") + np.uint64(1)))[there]
+    by = np.argsort(key)
+    key = key[by]
+    same = key[1:] == key[:-1]
+    twin = np.zeros(len(by), bool)
+    twin[by[1:]] |= same
+    twin[by[:-1]] |= same
+    out = np.zeros((n, starts), bool)
+    out[there] = twin
+    return out
+
+
 def _verified(rows: np.ndarray, r: np.ndarray, a: np.ndarray, same: np.ndarray, length: int, step: int = 100_000) -> bool:
     """Whether all neighbours with equal hashes have equal bytes."""
     at = np.flatnonzero(same)
@@ -241,41 +258,49 @@ def _units(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInPandas(pack, "uid long, sha array<string>, dk array<long>, raw array<binary>")
 
 
-def repeated_intervals(units: DataFrame, length: int = 50, k: int = 20, hot: int = 2000) -> DataFrame:
+def repeated_intervals(units: DataFrame, length: int = 50, k: int = 20, hot: int = 200_000) -> DataFrame:
     """uid, doc (index within the unit), lo, hi as packed little-endian integers: what the texts of a unit lose."""
     spark = units.sparkSession
     reach = length - k
     width = 2 * reach + k
     starts = width - length + 1
-    n_units = units.count()
-    buckets = max(partitions(spark), n_units // 16)
+    n = partitions(spark)
+    # several for each partition, so that one bucket fits in memory; the partition of a bucket is given, so that all get the same number
+    buckets = n * max(4, units.count() // (8 * n))
+
+    def dealt(t: DataFrame) -> DataFrame:
+        return t.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket", "uid")
 
     def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for uid, dks, raws in zip(b.uid, b.dk, b.raw, strict=True):
                 h, _, doc = unit_anchors(raws, length, k)
-                hashes, several = _once(h, np.asarray(dks)[doc] if len(doc) else doc)
+                hashes, several, count = _once(h, np.asarray(dks)[doc] if len(doc) else doc)
                 at = hashes % np.uint64(buckets)
                 by = np.argsort(at, kind="stable")
-                at, hashes, several = at[by], hashes[by], several[by]
-                rows = [(int(at[i]), uid, hashes[i:e].tobytes(), several[i:e].tobytes()) for i, e in _runs(at)]
-                yield pd.DataFrame(rows, columns=["bucket", "uid", "h", "several"])
-
-    def answered(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("uid")
-        h = np.concatenate([np.frombuffer(x, "u8") for x in g.h])
-        several = np.concatenate([np.frombuffer(x, "?") for x in g.several])
-        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-        twice = np.zeros(len(count), bool)
+                at, hashes, several, count = at[by], hashes[by], several[by], count[by]
+                rows = [(int(at[i]), uid, hashes[i:e].tobytes(), several[i:e].tobytes(), count[i:e].tobytes()) for i, e in _runs(at)]
+                yield pd.DataFrame(rows, columns=["bucket", "uid", "h", "several", "count"])
+
+    def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, ends in whole_groups(batches, ["bucket"]):
+            for lo, hi in zip(ends, ends[1:], strict=False):
+                yield answer(frame.iloc[lo:hi])
+
+    def answer(g: pd.DataFrame) -> pd.DataFrame:
+        h, several, count = (np.concatenate([np.frombuffer(x, kind) for x in g[c]]) for c, kind in (("h", "u8"), ("several", "?"), ("count", "u4")))
+        _, inverse, units_with = np.unique(h, return_inverse=True, return_counts=True)
+        twice, times = np.zeros(len(units_with), bool), np.zeros(len(units_with), "i8")
         np.logical_or.at(twice, inverse, several)
-        kind = ((count > 1) | twice).astype("u1") + (count > hot)
-        kind = kind[inverse]
+        np.add.at(times, inverse, count)
+        repeated = (units_with > 1) | twice
+        kind = (repeated.astype("u1") + (repeated & (times > hot)))[inverse]
         ends = np.cumsum([len(x) // 8 for x in g.h])
-        rows = [(uid, key[0], kind[e - len(x) // 8 : e].tobytes()) for uid, x, e in zip(g.uid, g.h, ends, strict=True)]
+        rows = [(uid, int(g.bucket.iloc[0]), kind[e - len(x) // 8 : e].tobytes()) for uid, x, e in zip(g.uid, g.h, ends, strict=True)]
         return pd.DataFrame([(*r, 2 in r[2]) for r in rows if any(r[2])], columns=["uid", "bucket", "kind", "hot"])
 
-    asked = units.select("uid", "dk", "raw").mapInPandas(named, "bucket long, uid long, h binary, several binary")
-    answers = asked.groupBy("bucket").applyInPandas(answered, "uid long, bucket long, kind binary, hot boolean")
+    asked = units.select("uid", "dk", "raw").mapInPandas(named, "bucket long, uid long, h binary, several binary, count binary")
+    answers = dealt(asked).mapInPandas(answered, "uid long, bucket long, kind binary, hot boolean")
     answers = answers.groupBy("uid").agg(F.collect_list(F.struct("bucket", "kind")).alias("answers"), F.max("hot").alias("is_hot"))
     answers = durable(answers, "answers")
 
@@ -295,12 +320,17 @@ def repeated_intervals(units: DataFrame, length: int = 50, k: int = 20, hot: int
                 for is_hot in (0, 1):
                     take = np.flatnonzero(own == 1 + is_hot)
                     if len(take):
-                        yield _cut_contexts(uid, dks, raws, h[take], pos[take], doc[take], is_hot, reach, k, buckets)
+                        at = h[take] % np.uint64(buckets) if not is_hot else None
+                        yield _cut_contexts(uid, dks, raws, h[take], pos[take], doc[take], is_hot, reach, k, at)
 
-    found = units.join(answers.drop("is_hot"), "uid").select("uid", "dk", "raw", "answers").mapInPandas(contexts, "bucket long, hot int, uid long, h binary, ctx binary, lo binary, hi binary, pos binary, doc binary, dk binary")
+    found = units.join(answers.drop("is_hot"), "uid").select("uid", "dk", "raw", "answers").mapInPandas(contexts, "bucket long, hot int, uid long, h binary, ctx binary, lo binary, hi binary, pos binary, doc binary, dk binary, least_dk long")
 
-    def sorted_out(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("uid")
+    def sorted_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, ends in whole_groups(batches, ["bucket"]):
+            for lo, hi in zip(ends, ends[1:], strict=False):
+                yield sorted_bucket(frame.iloc[lo:hi])
+
+    def sorted_bucket(g: pd.DataFrame) -> pd.DataFrame:
         h = np.concatenate([np.frombuffer(x, "u8") for x in g.h])
         ctx = np.concatenate([np.frombuffer(x, "u1") for x in g.ctx]).reshape(-1, width)
         lo, hi = (np.concatenate([np.frombuffer(x, "u1") for x in c]) for c in (g["lo"], g["hi"]))
@@ -318,16 +348,15 @@ def repeated_intervals(units: DataFrame, length: int = 50, k: int = 20, hot: int
         return pd.concat(out)
 
     if not answers.where("is_hot").limit(1).count():
-        return found.drop("hot").groupBy("bucket").applyInPandas(sorted_out, "uid long, doc binary, lo binary, hi binary")
+        return dealt(found.drop("hot", "least_dk")).mapInPandas(sorted_out, "uid long, doc binary, lo binary, hi binary")
     found = durable(found, "contexts")
-    usual = found.where("hot = 0").drop("hot").groupBy("bucket").applyInPandas(sorted_out, "uid long, doc binary, lo binary, hi binary")
+    usual = dealt(found.where("hot = 0").drop("hot", "least_dk")).mapInPandas(sorted_out, "uid long, doc binary, lo binary, hi binary")
     return usual.unionByName(_hot_intervals(found.where("hot = 1"), length, reach, width, starts))
 
 
 def _gone(h: np.ndarray, ctx: np.ndarray, lo: np.ndarray, hi: np.ndarray, dk: np.ndarray, length: int) -> np.ndarray:
     """For each occurrence and window start, whether a smaller dk has the same window; equal contexts are compared once."""
-    whole = np.concatenate([h[:, None].view("u1").reshape(len(h), 8)[:, ::-1], ctx, lo[:, None], hi[:, None]], 1)
-    _, first, inverse = np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    first, inverse = _distinct(h, ctx, lo, hi)
     least = np.full(len(first), LAST, "i8")
     np.minimum.at(least, inverse, dk)
     of = h[first]
@@ -335,6 +364,21 @@ def _gone(h: np.ndarray, ctx: np.ndarray, lo: np.ndarray, hi: np.ndarray, dk: np
     return least_ids(ctx[first], lo[first].astype("i8"), hi[first].astype("i8"), group, least, length)[inverse] < dk[:, None]
 
 
+def _distinct(h: np.ndarray, ctx: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each different context, in the order of ``h``, and which of them each row has. Rows are compared by a hash, then by their bytes."""
+    key = (ctx.astype("u8") + np.uint64(1)) @ _POW[: ctx.shape[1]]
+    key = _spread(key + _spread(h + (lo.astype("u8") << np.uint64(8)) + hi.astype("u8")))
+    by = np.lexsort((key, h))
+    new = np.concatenate(([True], (key[by][1:] != key[by][:-1]) | (h[by][1:] != h[by][:-1])))
+    x, y = by[1:][~new[1:]], by[:-1][~new[1:]]
+    if (ctx[x] != ctx[y]).any() or (lo[x] != lo[y]).any() or (hi[x] != hi[y]).any():
+        whole = np.concatenate([h[:, None].view("u1").reshape(len(h), 8)[:, ::-1], ctx, lo[:, None], hi[:, None]], 1)
+        return np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").ravel(), return_index=True, return_inverse=True)[1:]
+    inverse = np.empty(len(by), "i8")
+    inverse[by] = np.cumsum(new) - 1
+    return by[new], inverse
+
+
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     """Begin and end of each run of equal values."""
     if not len(values):
@@ -343,37 +387,39 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([0, *cut.tolist()], [*cut.tolist(), len(values)], strict=True))
 
 
-def _once(h: np.ndarray, dk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes and which of them several documents of the unit have."""
+def _once(h: np.ndarray, dk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, which of them several documents of the unit have, and how often they occur."""
     if not len(h):
-        return h, np.zeros(0, bool)
+        return h, np.zeros(0, bool), np.zeros(0, "u4")
     by = np.lexsort((dk, h))
     h, dk = h[by], dk[by]
     cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     last = np.append(cut[1:], len(h)) - 1
-    return h[cut], dk[cut] != dk[last]
+    return h[cut], dk[cut] != dk[last], (last - cut + 1).astype("u4")
 
 
-def _cut_contexts(uid: int, dks: Sequence[int], raws: Sequence[bytes], h: np.ndarray, pos: np.ndarray, doc: np.ndarray, is_hot: int, reach: int, k: int, buckets: int) -> pd.DataFrame:
-    """The bytes around each anchor, by bucket; zeros where the text has ended."""
+def _cut_contexts(uid: int, dks: Sequence[int], raws: Sequence[bytes], h: np.ndarray, pos: np.ndarray, doc: np.ndarray, is_hot: int, reach: int, k: int, bucket: np.ndarray | None) -> pd.DataFrame:
+    """The bytes around each anchor, zeros where the text has ended: a row for each bucket, or without buckets one for each different context."""
     width = 2 * reach + k
     sizes = np.array([len(r) for r in raws])
-    ctx = np.zeros((len(h), width), "u1")
-    lo = np.maximum(reach - pos, 0)
-    hi = np.minimum(sizes[doc] - (pos - reach), width)
-    for d in np.unique(doc):
-        rows = np.flatnonzero(doc == d)
-        b = np.frombuffer(raws[d], "u1")
-        at = (pos[rows] - reach)[:, None] + np.arange(width)
-        ctx[rows] = np.where((at >= 0) & (at < len(b)), b[np.clip(at, 0, len(b) - 1)], 0)
+    lo = np.maximum(reach - pos, 0).astype("u1")
+    hi = np.minimum(sizes[doc] - (pos - reach), width).astype("u1")
+    # all texts in one buffer with zeros between them, so that every context is one stretch of it
+    gap = b"\0" * width
+    buf = np.frombuffer(gap + gap.join(raws) + gap, "u1")
+    begin = width + np.concatenate(([0], np.cumsum(sizes + width)))[:-1]
+    ctx = np.lib.stride_tricks.sliding_window_view(buf, width)[begin[doc] + pos - reach]
     dk = np.asarray(dks, "i8")[doc]
-    bucket = (h % np.uint64(buckets)).astype("i8")
+    if bucket is None:
+        whole = np.ascontiguousarray(np.concatenate([ctx, lo[:, None], hi[:, None]], 1)).view(f"V{width + 2}").ravel()
+        bucket = np.unique(whole, return_inverse=True)[1]
     by = np.argsort(bucket, kind="stable")
     rows = []
     for i, e in _runs(bucket[by]):
         s = by[i:e]
-        rows.append((int(bucket[s[0]]), is_hot, uid, h[s].tobytes(), ctx[s].tobytes(), lo[s].astype("u1").tobytes(), hi[s].astype("u1").tobytes(), pos[s].astype("i8").tobytes(), doc[s].astype("i4").tobytes(), dk[s].tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "hot", "uid", "h", "ctx", "lo", "hi", "pos", "doc", "dk"])
+        one = s[:1] if is_hot else s
+        rows.append((int(bucket[s[0]]), is_hot, uid, h[one].tobytes(), ctx[one].tobytes(), lo[one].tobytes(), hi[one].tobytes(), pos[s].astype("i8").tobytes(), doc[s].astype("i4").tobytes(), dk[s].tobytes(), int(dk[s].min())))
+    return pd.DataFrame(rows, columns=["bucket", "hot", "uid", "h", "ctx", "lo", "hi", "pos", "doc", "dk", "least_dk"])
 
 
 def _intervals(uid: np.ndarray, doc: np.ndarray, at: np.ndarray, gone: np.ndarray, length: int) -> pd.DataFrame:
@@ -388,27 +434,38 @@ def _intervals(uid: np.ndarray, doc: np.ndarray, at: np.ndarray, gone: np.ndarra
 
 
 def _hot_intervals(found: DataFrame, length: int, reach: int, width: int, starts: int) -> DataFrame:
-    """Windows of hot anchors one by one: the least dk of each window's bytes, by aggregation and join."""
+    """Hot anchors by aggregation: the least dk of each different context, that of each window of these, and what every occurrence of a context loses.
+
+    ``found`` has one row for each unit and different context, so a context that all documents share travels once for each unit.
+    """
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for r in b.itertuples():
-                ctx = np.frombuffer(r.ctx, "u1").reshape(-1, width)
-                lo, hi = np.frombuffer(r.lo, "u1"), np.frombuffer(r.hi, "u1")
-                pos, doc, dk = np.frombuffer(r.pos, "i8"), np.frombuffer(r.doc, "i4"), np.frombuffer(r.dk, "i8")
-                rows = [(ctx[i, j : j + length].tobytes(), int(dk[i]), r.uid, int(doc[i]), int(pos[i]) - reach + j) for i in range(len(ctx)) for j in range(starts) if lo[i] <= j and j + length <= hi[i]]
-                yield pd.DataFrame(rows, columns=["w", "dk", "uid", "doc", "lo"])
-
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield _intervals(b.uid.to_numpy(), b.doc.to_numpy(), b.lo.to_numpy(), np.ones((len(b), 1), bool), length)
+            rows = [(c[j : j + length], dk, i, j) for c, lo, hi, dk, i in zip(b.ctx, b["lo"], b.hi, b.dk, b.id, strict=True) for j in range(starts) if lo[0] <= j and j + length <= hi[0]]
+            yield pd.DataFrame(rows, columns=["w", "dk", "id", "j"])
 
-    w = durable(found.mapInPandas(windows, "w binary, dk long, uid long, doc int, lo long"), "hot-windows")
-    least = durable(w.groupBy("w").agg(F.min("dk").alias("least")), "hot-least")
-    return w.join(least, "w").where("least < dk").select("uid", "doc", "lo").mapInPandas(packed, "uid long, doc binary, lo binary, hi binary")
-
-
-def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 20, unit: int = 1 << 20, hot: int = 2000, with_text: bool = False) -> DataFrame:
+    def lost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for uid, doc, pos, dk, wins in zip(b.uid, b.doc, b.pos, b.dk, b.wins, strict=True):
+                least = np.full(starts, LAST, "i8")
+                for w in wins:
+                    least[w["j"]] = w["least"]
+                dk, doc, pos = np.frombuffer(dk, "i8"), np.frombuffer(doc, "i4"), np.frombuffer(pos, "i8")
+                out.append(_intervals(np.full(len(dk), uid), doc, pos - reach, least[None, :] < dk[:, None], length))
+            if out:
+                yield pd.concat(out)
+
+    key = ["ctx", "lo", "hi"]
+    ctx = durable(found.groupBy(*key).agg(F.min("least_dk").alias("dk")).withColumn("id", F.monotonically_increasing_id()), "hot-contexts")
+    w = durable(ctx.mapInPandas(windows, "w binary, dk long, id long, j int"), "hot-windows")
+    least = w.groupBy("w").agg(F.min("dk").alias("least"))
+    wins = w.join(least, "w").groupBy("id").agg(F.collect_list(F.struct("j", "least")).alias("wins"))
+    done = durable(ctx.drop("dk").join(wins, "id").drop("id"), "hot-least")
+    return found.join(done, key).mapInPandas(lost, "uid long, doc binary, lo binary, hi binary")
+
+
+def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 20, unit: int = 1 << 20, hot: int = 200_000, with_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes if ``with_text``)."""
     raw = text_of().cast("binary")
     src = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("dk"), raw.alias("raw")).withColumn("sha", F.sha2("raw", 256))
@@ -438,8 +495,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 20, unit: int = 1 <
     done = durable(done, "cut")
     release(units, lost)
     rows = src.select("doc_id", "dk", "sha", F.length("raw").cast("long").alias("n_bytes"), *([F.col("raw")] if with_text else []))
-    least = durable(rows.groupBy("sha").agg(F.min("dk").alias("least")), "least")
-    t = rows.join(least, "sha").join(done, "sha", "left")
+    rows = durable(rows, "document-keys")
+    named = rows.groupBy("sha").agg(F.min("dk").alias("least"), F.count("*").alias("copies")).join(done, "sha", "left")
+    t = join_with_hot_keys(rows, durable(named, "text-results"), "sha", rows.count())
     copy = (F.col("dk") > F.col("least")) & (F.col("n_bytes") >= length)
     return t.select(
         "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),

@@ -64,7 +64,7 @@ def test_suffix(docs, rows):
                 m[p : p + length] = b"\1" * length
         kept = bytes(x for x, y in zip(b, m) if not y)
         want.append((i, len(b), sum(m), len(re.findall(b"\1+", bytes(m))), hashlib.sha256(kept).hexdigest()))
-    for hot in (20_000, 3, 0):
+    for hot in (200_000, 3, 0):
         got = [tuple(r) for r in suffix_dedup.suffix_dedup(docs, unit=4096, hot=hot).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert suffix_dedup.suffix_dedup(docs.limit(0)).count() == 0
@@ -233,5 +233,6 @@ def test_urls(spark):
     assert [(got[i].host, got[i].path, got[i].rule) for i in range(4)] == [("a.example.com", "/en/7", "example.com/en/7"), ("x.com", "/en/1", "com/en/"), ("notcom", "/en/1", None), ("a.example.net", "/de/8", "example.net/de/8")]
     assert [got[i].verdict for i in (0, 1, 3, 4, 5)] == ["allow", "block", "block", "block", "allow"]
     assert (got[7].host, got[7].path, got[7].verdict) == ("", "", "allow") and got[9].rule == "org/es/"
-    model = url_filter.Markov(["abc", "abd"], 2)
+    assert got[6].score == got[7].score == 0.5 and got[6].verdict == "allow"
+    model = url_filter.Markov.of(["abc", "abd"], 2)
     assert abs(sum(model.probability("ab", c) for c in map(chr, range(256))) - 1) < 1e-9
