@@ -97,9 +97,22 @@ def sdev_surface(spark, sf):
     return G.sdev_surface(cells(spark, sf)).select("row", "col", *r4("sdev"))
 
 
-@query()
+_SPREAD = "CASE WHEN count(depth) > 1 THEN sqrt(var_samp(depth) + avg(depth) * avg(depth) / (count(depth) - 1)) END"
+
+
+@query(WITH.replace("WITH ", "WITH RECURSIVE ", 1) + f""", tr(row, col, m, se, n, moving, k) AS (SELECT row, col, avg(depth), {_SPREAD}, count(depth), count(depth) > 1, 0 FROM cel GROUP BY row, col
+  UNION ALL SELECT row, col, nm, nse, nn, coalesce(nn > 1 AND ((nm <> m AND abs(nm - m) >= 0.01 * abs(nm)) OR (nse <> se AND abs(nse - se) >= 0.01 * abs(nse))), false), k + 1 FROM (
+    SELECT c.row, c.col, tr.m, tr.se, tr.k, avg(depth) AS nm, {_SPREAD} AS nse, count(depth) AS nn FROM tr JOIN cel c ON c.row = tr.row AND c.col = tr.col
+    WHERE moving AND k < 100 AND depth BETWEEN tr.m - 2 * tr.se AND tr.m + 2 * tr.se GROUP BY c.row, c.col, tr.m, tr.se, tr.k))
+SELECT row, col, round(m, 4) AS z, n AS n_kept FROM tr QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY k DESC) = 1""")
 def trimmed_mean_surface(spark, sf):
-    return G.trimmed_mean(cells(spark, sf))
+    return G.trimmed_mean(cells(spark, sf)).select("row", "col", *r4("z"), "n_kept")
+
+
+@query(WITH + "SELECT row, col, list_sort(list(depth))[(count(*) // 2 + 1)::INT] AS z FROM cel GROUP BY ALL ORDER BY z DESC, row, col LIMIT 10")
+def median_topk(spark, sf):
+    """The report of the ten shoalest medians."""
+    return G.median_surface(cells(spark, sf)).orderBy(F.desc("z"), "row", "col").limit(10)
 
 
 @query(WITH + f"SELECT l_orderkey, l_linenumber, round(({P.fixed2} + {P.pct2} * depth * depth) / ({CI95} * {CI95}), 6) AS dz FROM snd")

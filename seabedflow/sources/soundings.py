@@ -173,3 +173,19 @@ def save_files(files: DataFrame, folder: str) -> None:
         out = path.getFileSystem(conf).create(path, True)
         out.write(bytearray(r.content))
         out.close()
+
+
+#: Readers by the name of their format.
+READERS = {"plain": read_plain, "native": read_native}
+
+
+def open_soundings(spark: SparkSession, kind: str, path: str | list[str], proj=None) -> DataFrame:
+    """Soundings of files of a format; ``path`` may be several, read as one."""
+    if kind not in READERS:
+        raise ValueError(f"format {kind!r} is not one of {sorted(READERS)}")
+    return READERS[kind](spark, path, proj)
+
+
+def two_heads(t: DataFrame, port_beams: int, port: str, starboard: str) -> DataFrame:
+    """Soundings of a vessel with two heads under the names of two platforms: beams below ``port_beams`` are the port head's."""
+    return t.withColumn("platform", F.when(F.col("beam") < port_beams, F.lit(port)).otherwise(F.lit(starboard)))

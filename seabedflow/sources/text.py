@@ -1,10 +1,10 @@
-"""Position and tide text as DataFrames; lines that do not parse are left out."""
+"""Position and tide text as DataFrames, where lines that do not parse are left out, and text files of series, tides and points."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _WHOLE = r"\s*([-+]?\d++)"
@@ -83,3 +83,53 @@ def read_tides(spark: SparkSession, paths: str | list[str], fmt: str, year: int
     """ts, tide of every line of the files that parses."""
     t = _lines(spark, paths, lambda c: parse_tide(c, fmt, year))
     return t.select(F.timestamp_seconds("epoch").alias("ts"), "tide")
+
+
+def tide_lines(t: DataFrame, fmt: str) -> DataFrame:
+    """Tides (ts, tide) as lines (``value``) of a format of :func:`tide_pattern`; what it skips with ``*`` is written as 0."""
+    tide_pattern(fmt)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    ts = F.col("ts")
+    field = {
+        "Y": F.lpad(F.year(ts).cast("string"), 4, "0"), "M": two(F.month(ts)), "D": two(F.dayofmonth(ts)), "J": F.lpad(F.dayofyear(ts).cast("string"), 3, "0"),
+        "h": two(F.hour(ts)), "m": two(F.minute(ts)), "s": two(F.floor(F.second(ts))), "T": F.format_string("%.3f", F.col("tide").cast("double")), "*": F.lit("0"),
+    }
+    return t.where("ts is not null and tide is not null").select(F.concat(*[field.get(c, F.lit(c)) for c in fmt]).alias("value"))
+
+
+def series_lines(t: DataFrame, values: list[str], key: str = "k") -> DataFrame:
+    """A series (key, ts, values) as lines of number, epoch and values, numbered within each key in the order of time."""
+    w = Window.partitionBy(key).orderBy("ts")
+    numbers = [F.format_string("%g", F.col(v).cast("double")) for v in values]
+    return t.select(key, F.concat_ws(" ", (F.row_number().over(w) - 1).cast("string"), F.format_string("%.3f", F.unix_micros("ts") / 1e6), *numbers).alias("value"))
+
+
+#: The column that colours points in a point file, by what it shows.
+POINT_COLOURS = {"depth": "3 AS_HEIGHT", "range": "5", "beam": "6", "file": "7"}
+
+
+def point_file(t: DataFrame, colour: str = "depth") -> tuple[str, DataFrame]:
+    """Soundings (east, north, depth, dz, range, beam, file_id, backscatter) as a point file: its header and its lines (``value``), relative to the middle of the
+    points and a metre below the deepest. Soundings at the very origin have no position and are left out; one aggregation finds the extent."""
+    t = t.where("not (east = 0 and north = 0)")
+    r = t.agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("east", "north", "depth") for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    x, y, z = ((r.hi_east or 0) + (r.lo_east or 0)) / 2, ((r.hi_north or 0) + (r.lo_north or 0)) / 2, (r.lo_depth or 0) - 1
+    head = (
+        f"BEGIN DATA_POINTS 1.0\nN_RECORDS {r.n}\nN_COLUMNS 8\nXYZ\nCOLOR ATTRIBUTE {POINT_COLOURS[colour]}\nGLYPH UCUBE\nDROP_LINE OFF\n"
+        f"SIZE COLUMNS XYZK 4 4 4 1.96\nTEXT NONE\nDEGRADATION NTH\nLOCAL_ORIGIN {x:f} {y:f} {z:f}\n"
+    )
+    number = lambda c: F.format_string("%.3f", c.cast("double"))
+    own = [F.col("east") - x, F.col("north") - y, F.col("depth") - z, F.sqrt("dz"), F.col("range")]
+    return head, t.select(F.concat_ws(" ", *map(number, own), *[F.col(c).cast("string") for c in ("beam", "file_id", "backscatter")]).alias("value"))
+
+
+def find_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
+    """Paths and sizes of the files below a folder whose names end with ``suffix``, by any file system Spark can list; contents are not read."""
+    t = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(folder)
+    return t.select("path", "length")
+
+
+def name_list(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """File names out of a list file, one in a line, with a folder put before those that are not absolute; blank lines and comments are skipped. A list of lines of one survey goes to the driver."""
+    names = [r.value.strip() for r in spark.read.text(path, wholetext=False).collect()]
+    return [n if n.startswith("/") or ":" in n or not prefix else f"{prefix.rstrip('/')}/{n}" for n in names if n and not n.startswith("#")]

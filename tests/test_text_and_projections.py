@@ -51,3 +51,25 @@ def test_worked_examples(spark):
     r = t.select(east, north, F.abs(x), ux, uy).first()
     assert r[0] == pytest.approx(500000) and r[1] == pytest.approx(0, abs=1e-6) and r[2] == pytest.approx(20037508.342789, abs=1e-3)
     assert r[4] == pytest.approx(0.9996 * 10001965.729, abs=0.05)
+
+
+def test_written_text(spark, tmp_path):
+    t = spark.createDataFrame([(1_000_000_000, 0.25), (951_782_400, -1.5), (None, 1.0)], "s long, tide double").withColumn("ts", F.timestamp_seconds("s"))
+    for fmt in ("Y M D h:m:s T", "Y J h m T *", "D/M/Y h:m T"):
+        lines = [r.value for r in X.tide_lines(t, fmt).collect()]
+        back = spark.createDataFrame([(x,) for x in lines], "l string").select(X.parse_tide(F.col("l"), fmt).alias("g")).collect()
+        whole = 1 if "s" in fmt else 60
+        assert sorted((r.g.epoch, r.g.tide) for r in back) == sorted((s // whole * whole, h) for s, h in ((1_000_000_000, 0.25), (951_782_400, -1.5)))
+    series = t.where("s is not null").withColumns({"k": F.lit("a"), "x": F.lit(0.5)})
+    assert [r.value for r in X.series_lines(series, ["tide", "x"]).orderBy("value").collect()] == ["0 951782400.000 -1.50000 0.500000", "1 1000000000.000 0.250000 0.500000"]
+    points = spark.createDataFrame([(10.0, 20.0, -5.0, 0.25, 6.0, 1, 2, 3), (14.0, 30.0, -9.0, 1.0, 7.0, 4, 5, 6), (0.0, 0.0, -1.0, 1.0, 1.0, 1, 1, 1)], "east double, north double, depth double, dz double, range double, beam int, file_id int, backscatter int")
+    head, lines = X.point_file(points, "beam")
+    assert "N_RECORDS 2\n" in head and "COLOR ATTRIBUTE 6\n" in head and head.endswith("LOCAL_ORIGIN 12.000000 25.000000 -10.000000\n")
+    assert sorted(r.value for r in lines.collect()) == ["-2.000 -5.000 5.000 0.500 6.000 1 2 3", "2.000 5.000 1.000 1.000 7.000 4 5 6"]
+    assert "N_RECORDS 0\n" in X.point_file(points.limit(0))[0]
+    (tmp_path / "d").mkdir()
+    for n in ("a.raw", "d/b.raw", "c.txt"):
+        (tmp_path / n).write_text("x")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in X.find_files(spark, str(tmp_path), ".raw").collect()) == ["a.raw", "b.raw"]
+    (tmp_path / "list").write_text("one.raw\n\n# no\n/abs/two.raw\n")
+    assert X.name_list(spark, str(tmp_path / "list"), "/data/") == ["/data/one.raw", "/abs/two.raw"]
