@@ -60,7 +60,7 @@ def speed_over_ground(t: DataFrame, key: str = "platform", bucket: int = BUCKET)
     s = s.withColumns({"_to": F.coalesce("_to", "_after"), "_from": F.coalesce("_from", "_before")})
 
     def speed(a: Column, b: Column) -> Column:
-        dt = _seconds(b.ts) - _seconds(a.ts)
+        dt = (F.unix_micros(b.ts) - F.unix_micros(a.ts)) / 1e6
         dx, dy = b.x - a.x, b.y - a.y
         return F.sqrt(dx * dx + dy * dy) / F.when(dt > 0, dt)
 
