@@ -28,7 +28,7 @@ def hypotheses(pairs: DataFrame, order: list[str], p: Params) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state, out = None, None, []
+        at, state, index, out = None, None, None, []
 
         def done() -> tuple:
             hyps = kernel.flushed(state, p)["hyps"]
@@ -40,7 +40,8 @@ def hypotheses(pairs: DataFrame, order: list[str], p: Params) -> DataFrame:
                     if at is not None:
                         out.append(done())
                     at, state = (r, c), kernel.new_state()
-                kernel.insert(state, d, v, p)
+                    index = kernel.Index(state)
+                kernel.insert(state, d, v, p, index)
             if len(out) >= 1000:
                 yield pd.DataFrame(out, columns=["row", "col", "hyps"])
                 out = []

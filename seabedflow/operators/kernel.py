@@ -6,10 +6,11 @@ stored between batches; reading a surface works on a copy and never changes it.
 
 from __future__ import annotations
 
-import copy
 import math
 from collections.abc import Iterable
 
+import numpy as np
+
 from ..functions.params import CI95, CI99_NODE, Params
 
 HYP = ("cur", "cur_var", "pred", "pred_var", "cum_bf", "run", "num", "n", "samp_var")
@@ -23,7 +24,7 @@ def add_hypothesis(state: dict, depth: float, var: float, n: int = 1) -> None:
     """Start a hypothesis; its number is one more than that of the newest. With ``n`` = 0 it is a null hypothesis of an initial surface,
     which takes part in matching but is extracted only once data has joined it."""
     hyps = state["hyps"]
-    num = max((h["num"] for h in hyps), default=0) + 1
+    num = hyps[-1]["num"] + 1 if hyps else 1
     hyps.append({"cur": depth, "cur_var": var, "pred": depth, "pred_var": var, "cum_bf": 1.0, "run": 0, "num": num, "n": n, "samp_var": 0.0})
 
 
@@ -53,15 +54,44 @@ def update_hypothesis(h: dict, depth: float, var: float, p: Params) -> bool:
     return True
 
 
-def update(state: dict, depth: float, var: float, p: Params) -> None:
+class Index:
+    """Predictions of a state's hypotheses as arrays, so that a node of hundreds of them is matched in a few array operations. It belongs to one
+    state while that is folded, and is never stored."""
+
+    def __init__(self, state: dict):
+        self.n, self.pred, self.var = 0, np.empty(64), np.empty(64)
+        for h in state["hyps"]:
+            self.put(self.n, h)
+
+    def put(self, i: int, h: dict) -> None:
+        if i == len(self.pred):
+            self.pred, self.var = np.resize(self.pred, 2 * i), np.resize(self.var, 2 * i)
+        self.pred[i], self.var[i], self.n = h["pred"], h["pred_var"], max(self.n, i + 1)
+
+    def nearest(self, depth: float, var: float) -> int:
+        far = np.abs(depth - self.pred[: self.n]) / np.sqrt(self.var[: self.n] + var)
+        return self.n - 1 - int(far[::-1].argmin())
+
+
+def update(state: dict, depth: float, var: float, p: Params, index: Index | None = None) -> None:
     """Match the nearest hypothesis (the newest of equals) or start another."""
-    hyps = state["hyps"]
-    if hyps:
-        best = min(reversed(hyps), key=lambda h: abs(depth - h["pred"]) / math.sqrt(h["pred_var"] + var))
-        if update_hypothesis(best, depth, var, p):
+    hyps, best, least = state["hyps"], -1, math.inf
+    if index is not None and len(hyps) > 24:
+        best = index.nearest(depth, var)
+    else:
+        for i, h in enumerate(hyps):
+            far = abs(depth - h["pred"]) / math.sqrt(h["pred_var"] + var)
+            if far <= least:
+                best, least = i, far
+    if best >= 0:
+        if update_hypothesis(hyps[best], depth, var, p):
+            if index is not None:
+                index.put(best, hyps[best])
             return
-        best["cum_bf"], best["run"] = 1.0, 0
+        hyps[best]["cum_bf"], hyps[best]["run"] = 1.0, 0
     add_hypothesis(state, depth, var)
+    if index is not None:
+        index.put(len(hyps) - 1, hyps[-1])
 
 
 def truncate(queue: list, p: Params) -> list:
@@ -80,7 +110,7 @@ def truncate(queue: list, p: Params) -> list:
     return [e for e in queue if stays(e[0])]
 
 
-def insert(state: dict, depth: float, var: float, p: Params) -> None:
+def insert(state: dict, depth: float, var: float, p: Params, index: Index | None = None) -> None:
     """Into the depth-descending queue; a full queue first releases its median to the filter. New data clears a nomination.
 
     Among equal depths a new one goes first while the queue fills; later it goes behind the equals that are shallower than the
@@ -107,7 +137,7 @@ def insert(state: dict, depth: float, var: float, p: Params) -> None:
     q.insert(at, [depth, var])
     if q[0][0] - CI99_NODE * math.sqrt(q[0][1]) >= q[-1][0] + CI99_NODE * math.sqrt(q[-1][1]):
         state["queue"] = truncate(q, p)
-    update(state, *out, p)
+    update(state, *out, p, index)
 
 
 def drain_order(n: int) -> list[int]:
@@ -124,17 +154,19 @@ def drain_order(n: int) -> list[int]:
 
 def flushed(state: dict, p: Params) -> dict:
     """A copy with the queue truncated and drained from the median outwards."""
-    s = copy.deepcopy(state)
+    s = {**state, "hyps": [dict(h) for h in state["hyps"]]}
     q, s["queue"] = truncate(s["queue"], p), []
+    index = Index(s)
     for i in drain_order(len(q)):
-        update(s, *q[i], p)
+        update(s, *q[i], p, index)
     return s
 
 
 def fold(pairs: Iterable[tuple[float, float]], p: Params, state: dict | None = None) -> dict:
     s = state or new_state()
+    index = Index(s)
     for depth, var in pairs:
-        insert(s, depth, var, p)
+        insert(s, depth, var, p, index)
     return s
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.params import SheetSpec
+from ..plans.store import shared_table as durable
 from .graph import components
 
 CELL = ("row", "col")
@@ -208,16 +209,19 @@ def capture_radii(depth: DataFrame, sheet: SheetSpec, limit: int = 10) -> DataFr
 def coverage(soundings: DataFrame, depth: DataFrame, sheet: SheetSpec, limit: int = 10) -> DataFrame:
     """The shoalest of the soundings (east, north, depth) that lie within each cell's capture radius; cells without one are left out.
 
-    A sounding goes to the cells its depth can reach, is held against their radii there, and partial maxima travel.
+    A sounding goes to the cells its depth can reach and no farther than the greatest radius on the sheet, is held against their radii there, and partial maxima travel.
+    Soundings without a place or depth are left out.
     """
-    reach = 5 * F.ceil((2.5 - 0.025 * F.col("depth")) / 5 + 1)
-    t = soundings.select("east", "north", "depth", *[c.alias(n) for c, n in zip(sheet.cell(F.col("east"), F.col("north")), ("r", "c"), strict=True)])
+    capture = durable(capture_radii(depth, sheet, limit), "capture")
+    most = capture.agg(F.max("reach")).first()[0] or 0.0
+    t = soundings.where("east is not null and north is not null and depth is not null").select("east", "north", "depth", *[c.alias(n) for c, n in zip(sheet.cell(F.col("east"), F.col("north")), ("r", "c"), strict=True)])
     t = t.where(F.col("r").between(0, sheet.rows) & F.col("c").between(0, sheet.cols))
+    reach = F.least(5 * F.ceil((2.5 - 0.025 * F.col("depth")) / 5 + 1), F.lit(most))
     around = lambda at, step, n: F.sequence(F.greatest(F.col(at) - F.ceil(reach / step), F.lit(0)).cast("int"), F.least(F.col(at) + F.ceil(reach / step), F.lit(n - 1)).cast("int"))
     t = t.withColumn("row", F.explode(around("r", sheet.dy, sheet.rows))).withColumn("col", F.explode(around("c", sheet.dx, sheet.cols)))
     far2 = F.pow(F.col("east") - sheet.node_x(), F.lit(2.0)) + F.pow(F.col("north") - sheet.node_y(), F.lit(2.0))
-    t = t.select(*CELL, "depth", far2.alias("far2")).where(F.col("far2") < reach * reach)
-    hit = t.join(capture_radii(depth, sheet, limit), list(CELL)).where("far2 < reach * reach")
+    t = t.select(*CELL, "depth", far2.alias("far2")).where(F.col("far2") < most * most)
+    hit = t.join(capture, list(CELL)).where("far2 < reach * reach")
     return hit.groupBy(*CELL).agg(F.max("depth").alias("z"))
 
 
