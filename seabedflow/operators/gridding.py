@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import warnings
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import interpolation_variance
 from ..functions.params import CI95, CI99_GRID, Params, SheetSpec
+from ..plans.store import drop_tables, shared_table
 
 CELL = ("row", "col")
 
@@ -51,36 +51,44 @@ def trimmed_mean(cells: DataFrame, rounds: int = 100, tolerance: float = 0.01, s
 
     Each round tests all samples of the cells that still move, so a dropped sample may return. The deviation is sqrt(sum of squares / (n - 1) -
     mean^2), as existing surfaces have it; a single sample is its own mean, that of a cell without depths is null. Cells that move after ``rounds``
-    keep the last mean and are counted in a warning. A round is one aggregation and one join on the cell, so a cell of any size is spread
-    over map tasks; what is known of each cell is written in ``spark.checkpoint.dir``.
+    keep the last mean and are counted in a warning.
+
+    Equal depths of a cell are counted once, before anything else is shuffled, and rounds work on these counts; a round is one aggregation and one join on the
+    cell, with sums in part before the shuffle, and its few numbers for each cell are written, so the plan does not grow.
     """
-    spark = cells.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="seabedflow-"))
-    own = cells.select(*CELL, "depth").persist()
-    m, se, n, pm, pse = (F.col(c) for c in ("m", "se", "n", "pm", "pse"))
-    # the sum of squares / (n - 1) - mean^2 without the difference of two large numbers
-    spread = F.when(n > 1, F.sqrt(F.col("v") + m * m / F.greatest(n - 1, F.lit(1))))
-    stat = lambda t, *kept: t.groupBy(*CELL).agg(F.avg("depth").alias("m"), F.var_samp("depth").alias("v"), F.count("depth").alias("n"), *kept).withColumn("se", spread)
+    own = shared_table(cells.groupBy(*CELL, "depth").agg(F.count("*").alias("k")), "depth-counts")
+    d, k, pm, pse = (F.col(c) for c in ("depth", "k", "pm", "pse"))
+    known = F.when(d.isNotNull(), k)
+
+    def stat(t: DataFrame, *kept: Column) -> DataFrame:
+        t = t.groupBy(*CELL).agg(F.sum(k * d).alias("s1"), F.sum(k * d * d).alias("s2"), F.coalesce(F.sum(known), F.lit(0)).alias("n"), *kept)
+        m, n = F.col("s1") / F.when(F.col("n") > 0, F.col("n")), F.col("n")
+        return t.withColumns({"m": m, "se": F.when(n > 1, F.sqrt(F.greatest(F.col("s2") / F.greatest(n - 1, F.lit(1)) - m * m, F.lit(0.0))))})
+
+    m, se, n = (F.col(c) for c in ("m", "se", "n"))
     moves = lambda x, old: (x != old) & (F.abs(x - old) >= tolerance * F.abs(x))
-    state = stat(own).select(*CELL, "m", "se", "n", (n > 1).alias("moving")).checkpoint()
-    parts = max(1, state.rdd.getNumPartitions())
+    state = shared_table(stat(own).select(*CELL, "m", "se", "n", (n > 1).alias("moving")), "cells")
     for _ in range(rounds):
-        at = state.where("moving").select(*CELL, m.alias("pm"), se.alias("pse"))
-        kept = own.join(at, list(CELL)).where(F.col("depth").between(pm - scale * pse, pm + scale * pse))
+        at = state.where("moving").select(F.col("row").alias("_r"), F.col("col").alias("_c"), m.alias("pm"), se.alias("pse"))
+        kept = own.join(at, own["row"].eqNullSafe(at["_r"]) & own["col"].eqNullSafe(at["_c"])).where(d.between(pm - scale * pse, pm + scale * pse))
         new = stat(kept, F.first("pm").alias("pm"), F.first("pse").alias("pse"))
         new = new.select(*CELL, "m", "se", "n", ((n > 1) & (moves(m, pm) | moves(se, pse))).alias("moving"))
-        # the union adds partitions each round
-        state = state.where("not moving").unionByName(new).coalesce(parts).checkpoint()
+        before, state = state, shared_table(state.where("not moving").unionByName(new), "cells")
+        drop_tables(before)
         left = state.where("moving").count()
         if not left:
             break
     else:
         warnings.warn(f"{left} cells still move after {rounds} rounds of clipping", stacklevel=2)
-    own.unpersist()
+    drop_tables(own)
     return state.select(*CELL, m.alias("z"), n.alias("n_kept"))
 
 
+def extent(cells: DataFrame, *by: str) -> DataFrame:
+    """First and last row and column of the cells, of each group or of all; nulls are no cells."""
+    return cells.groupBy(*by).agg(F.min("row").alias("row_min"), F.max("row").alias("row_max"), F.min("col").alias("col_min"), F.max("col").alias("col_max"))
+
+
 def depth_gate(t: DataFrame, least: float, most: float) -> DataFrame:
     """Gates are given positive-down; depths are negative."""
     return t.where((F.col("depth") <= -least) & (F.col("depth") >= -most))
@@ -106,7 +114,7 @@ def influence_radius(p: Params) -> Column:
     return F.greatest(F.least(r, rmax), F.lit(p.dist_scale))
 
 
-def known(t: DataFrame) -> DataFrame:
+def complete(t: DataFrame) -> DataFrame:
     """Soundings whose place, depth and errors are all there."""
     return t.where("east is not null and north is not null and depth is not null and dz is not null and dr is not null")
 
@@ -114,7 +122,7 @@ def known(t: DataFrame) -> DataFrame:
 def node_candidates(t: DataFrame, sheet: SheetSpec, p: Params) -> DataFrame:
     """Each sounding with each node nearer than its radius. Nodes are generated from the radius, so no node table is joined. Soundings without a place, a depth or an error
     reach no node; repeated soundings count each."""
-    t = known(t).withColumn("radius", influence_radius(p))
+    t = complete(t).withColumn("radius", influence_radius(p))
     r = F.col("radius")
     row_lo, col_lo = F.ceil((sheet.y0 - F.col("north") - r) / sheet.dy), F.ceil((F.col("east") - r - sheet.x0) / sheet.dx)
     row_hi, col_hi = F.floor((sheet.y0 - F.col("north") + r) / sheet.dy), F.floor((F.col("east") + r - sheet.x0) / sheet.dx)
@@ -149,7 +157,7 @@ def gated(t: DataFrame, p: Params) -> DataFrame:
 
 def nodal_pairs(t: DataFrame, sheet: SheetSpec, p: Params) -> DataFrame:
     """Pairs by the older rule: all nodes of the square as wide as the uncapped radius, without a capture distance."""
-    t = known(t)
+    t = complete(t)
     maxvar = (F.lit(p.fixed2) + F.lit(p.pct2) * F.col("depth") * F.col("depth")) / (CI95 * CI95)
     r = p.dist_scale * F.pow(F.greatest(F.lit(2.0), maxvar / F.col("dz")) - 1, F.lit(1.0 / p.dist_exp))
     # cells by truncation towards the north-west node, as far as the sheet goes

@@ -406,7 +406,7 @@ def combine_surfaces(spark, sf):
 
 @query(WITH + "SELECT platform, min(row) AS row_min, max(row) AS row_max, min(col) AS col_min, max(col) AS col_max FROM cel GROUP BY ALL")
 def sheet_extent(spark, sf):
-    return cells(spark, sf).groupBy("platform").agg(F.min("row").alias("row_min"), F.max("row").alias("row_max"), F.min("col").alias("col_min"), F.max("col").alias("col_max"))
+    return G.extent(cells(spark, sf), "platform")
 
 
 _SAMPLE = "s AS (SELECT user_id AS k, ts, value FROM events WHERE event_id % 2 = 0), t AS (SELECT user_id AS k, event_id AS id, ts FROM events WHERE event_id % 2 = 1)"
