@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 #: Fixed values: (fixed depth error m, fraction of depth) at 95 % confidence by survey order.
 ORDERS = {"exclusive": (0.15, 0.0075), "special": (0.25, 0.0075), "order1a": (0.5, 0.013), "order1b": (0.5, 0.013), "order1": (0.5, 0.013), "order2": (1.0, 0.023), "order3": (1.0, 0.023)}
+#: Horizontal limits in metres at 95 % confidence by survey order.
+HORIZONTAL = {"exclusive": 1.0, "special": 2.0, "order1a": 5.0, "order1b": 5.0, "order1": 5.0, "order2": 20.0, "order3": 150.0}
+#: The older numbered orders as (fixed depth error, fraction of depth, fixed grid error, fraction of depth, horizontal).
+NUMBERED_ORDERS = {"1": (0.2, 0.0075, 0.2, 0.0075, 2.0), "2": (0.5, 0.013, 1.0, 0.0026, 5.0), "3": (1.0, 0.023, 2.0, 0.05, 20.0), "4": (1.0, 0.023, 5.0, 0.05, 150.0)}
 CI95, CI99_GRID, CI99_NODE = 1.96, 2.95, 2.56
 #: Metres, seconds, hertz and bytes for unit suffixes.
 UNITS = {
@@ -108,13 +112,22 @@ class Params:
         """Settings for a node spacing: distances are scaled by the smaller one, contexts in metres become nodes by it."""
         return cls(dist_scale=min(dx, dy), **kw)
 
+    def limits(self) -> tuple[float, float, float]:
+        """Fixed depth error, fraction of depth and horizontal error of the order, named or by its older number; raises on an unknown one."""
+        if self.order in NUMBERED_ORDERS:
+            fixed, part, *_, horizontal = NUMBERED_ORDERS[self.order]
+            return fixed, part, horizontal
+        if self.order not in ORDERS:
+            raise ValueError(f"order {self.order!r} is not known")
+        return (*ORDERS[self.order], HORIZONTAL[self.order])
+
     @property
     def fixed2(self) -> float:
-        return ORDERS[self.order][0] ** 2
+        return self.limits()[0] ** 2
 
     @property
     def pct2(self) -> float:
-        return ORDERS[self.order][1] ** 2
+        return self.limits()[1] ** 2
 
     @property
     def var_scale(self) -> float:

@@ -144,6 +144,14 @@ def apply_edits(nodes: DataFrame, edits: DataFrame, tolerance: float = 0.01) ->
     return t.select(*CELL, "s.hyps", "s.pick")
 
 
+def node_hypotheses(edited: DataFrame, uncertainty: str = "sample") -> DataFrame:
+    """Every hypothesis with its 95 % limit and whether it is the nominated one; nodes without edits have none."""
+    t = edited if "pick" in edited.columns else edited.withColumn("pick", F.lit(None).cast("int"))
+    t = t.select(*CELL, "pick", F.explode("hyps").alias("h"))
+    own = F.coalesce(F.col("h.num") == F.col("pick"), F.lit(False))
+    return t.select(*CELL, "h.num", F.col("h.cur").alias("depth"), _limit(F.col("h"), uncertainty).alias("unct"), "h.n", own.alias("nominated"))
+
+
 def nominated_surface(edited: DataFrame, uncertainty: str = "sample") -> DataFrame:
     """The prior surface with nominated hypotheses in place, whose strength is 0."""
     h, ratio = _by_samples()

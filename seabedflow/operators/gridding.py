@@ -102,7 +102,7 @@ def angle_gate(t: DataFrame, across: Column, lo: float, hi: float) -> DataFrame:
 def iho_error(p: Params) -> tuple[Column, Column]:
     """Vertical variance of the order's limits at the depth, and a constant horizontal one."""
     d2 = F.col("depth") * F.col("depth")
-    return (F.lit(p.fixed2) + F.lit(p.pct2) * d2) / (CI95 * CI95), F.lit((5.0 / CI95) ** 2)
+    return (F.lit(p.fixed2) + F.lit(p.pct2) * d2) / (CI95 * CI95), F.lit((p.limits()[2] / CI95) ** 2)
 
 
 def influence_radius(p: Params) -> Column:

@@ -115,9 +115,10 @@ def median_topk(spark, sf):
     return G.median_surface(cells(spark, sf)).orderBy(F.desc("z"), "row", "col").limit(10)
 
 
-@query(WITH + f"SELECT l_orderkey, l_linenumber, round(({P.fixed2} + {P.pct2} * depth * depth) / ({CI95} * {CI95}), 6) AS dz FROM snd")
+@query(WITH + "SELECT l_orderkey, l_linenumber, round((0.25 + 0.000169 * depth * depth) / pow(1.96, 2), 6) AS dz, round(pow(5 / 1.96, 2), 6) AS dr, round((0.04 + 0.0075 * 0.0075 * depth * depth) / pow(1.96, 2), 6) AS dz_1, round(pow(150 / 1.96, 2), 6) AS dr_4 FROM snd")
 def iho_error(spark, sf):
-    return V.soundings(spark, sf).select("l_orderkey", "l_linenumber", F.round(G.iho_error(P)[0], 6).alias("dz"))
+    (dz, dr), (dz1, _), (_, dr4) = (G.iho_error(Params(order=o)) for o in ("order1", "1", "4"))
+    return V.soundings(spark, sf).select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(n) for n, c in (("dz", dz), ("dr", dr), ("dz_1", dz1), ("dr_4", dr4))])
 
 
 @query(WITH + "SELECT platform, count(*) AS n, round(avg(depth), 4) AS z FROM snd WHERE depth <= -20 AND depth >= -40 GROUP BY ALL")

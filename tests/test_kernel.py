@@ -57,6 +57,12 @@ def test_edits():
     assert not K.remove(s, 99.0) and len(s["hyps"]) == n
 
 
+def test_orders():
+    assert Params().limits() == (0.5, 0.013, 5.0) and Params(order="1").limits() == (0.2, 0.0075, 2.0) and Params(order="order3").limits()[2] == 150.0
+    with pytest.raises(ValueError):
+        Params(order="9").limits()
+
+
 def test_units_config_and_sheet():
     assert parse_unit("5 mm", "length") == 0.005 and parse_unit("1 nm", "length") == 1852 and parse_unit("10 kHz", "rate") == 1e4
     with pytest.raises(ValueError):
@@ -135,6 +141,8 @@ def test_edits_apply_in_time_order(spark):
     depth = {r.col: (r.depth, r.ratio) for r in E.nominated_surface(E.apply_edits(nodes, edits)).collect()}
     assert depth[0] == (-9.005, 0.0) and depth[6] == (-9.0, 2.0)
     assert [r.num for r in E.match_hypothesis(nodes.where("col = 0"), nodes.where("col = 0").selectExpr("row", "col", "-9.0005D as depth")).collect()] == [2]
+    listed = {(r.col, r.num): (r.unct, r.nominated) for r in E.node_hypotheses(E.apply_edits(nodes, edits)).collect()}
+    assert len(listed) == 19 and listed[0, 3] == (pytest.approx(1.96 * 0.1**0.5), True) and not listed[0, 1][1] and E.node_hypotheses(nodes).where("nominated").count() == 0
     sheet = SheetSpec(0.0, 0.0, 1.0, 1.0, 7, 1)
     assert E.hypotheses_at(nodes, sheet, 2.4, 0.3).select("col").distinct().collect()[0][0] == 2
     assert E.hypotheses_in(nodes, sheet, 1.5, -1, 3.0, 1).count() == 6 and E.edits_at(spark.createDataFrame([(2.6, 0.1, "remove", -5.0, 1)], "x double, y double, op string, depth double, at int"), sheet).first()[:2] == (0, 3)
