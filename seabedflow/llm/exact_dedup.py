@@ -38,7 +38,8 @@ def exact_identities(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     """One row per document: ``keep``, ``text_sha256``, ``n_blocks`` and ``name``; equal texts, and only those, agree in the last two.
 
     Numbers are written as a table before occurrences join them, so that Spark can split the join of a number
-    that a third of all documents share. ``keep`` must name none of the columns made here.
+    that a third of all documents share. ``keep`` must name none of the columns made here. The result reads one table for each
+    level, which :func:`exact_dedup` deletes once it has written it.
     """
     src = docs.select(*[F.col(f"`{k}`") for k in keep], text_of(text).cast("binary").alias("raw"))
     blocks = src.select(F.explode(_blocks(block)).alias("b")).select(hashed(F.col("b")).alias("h"), "b")
@@ -60,12 +61,14 @@ def exact_identities(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
         cur = cur.join(own, ["h", "b"], "left").withColumn("name", F.coalesce("name", "own"))
     cur = durable(cur.select("rid", "pos", "n_blocks", F.col("n_blocks").alias("lvl_n"), "name", *keep, "sha"), "level")
     release(occ, names, of_hash)
-    done = None
+    done, levels = None, []
     while True:
+        levels.append(cur)
         one = cur.where("lvl_n = 1").select("n_blocks", "name", *keep, F.col("sha").alias("text_sha256"))
         done = one if done is None else done.unionByName(one)
         rest = cur.where("lvl_n > 1")
         if not rest.limit(1).count():
+            done._seabedflow_levels = levels
             return done
         # both members of a pair meet under (rid, pos div 2); an odd last one pairs with nothing
         left = F.col("pos") % 2 == 0
@@ -80,7 +83,9 @@ def exact_identities(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
 
 def exact_dedup(docs: DataFrame, text: str = "text", block: int = 4096) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays; one row per document, dropped ones too."""
-    ids = durable(exact_identities(only(docs, "doc_id", text), text, ("doc_id",), block).withColumn("row", F.monotonically_increasing_id()), "identities")
+    named = exact_identities(only(docs, "doc_id", text), text, ("doc_id",), block)
+    ids = durable(named.withColumn("row", F.monotonically_increasing_id()), "identities")
+    release(*named._seabedflow_levels)
     groups = durable(ids.groupBy("n_blocks", "name").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")), "groups")
     out = ids.join(groups, ["n_blocks", "name"])
     return out.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256")
